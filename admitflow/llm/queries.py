@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from admitflow.llm import exact_dedup, jaccard_join, language_id, mixing, packing, quality, topk_search, url_filter, warc
+from admitflow.llm import exact_dedup, jaccard_join, language_id, license_scan, mixing, packing, quality, topk_search, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(_table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"), least=0.8)
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, index = warc.write_archive(_table(spark, sf_dir, "pages"), min_bytes=0)
     read = warc.read_records(folder, index)
@@ -71,7 +75,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_url_filter, op2_source_mixing, op3_quality_classifier, op4_language_id, op5_exact_dedup, op7_warc, op8_packing, op9_jaccard_join, op10_topk_search, pipeline)
+    for f in (op1_url_filter, op2_source_mixing, op3_quality_classifier, op4_language_id, op5_exact_dedup, op6_license_scan, op7_warc, op8_packing, op9_jaccard_join, op10_topk_search, pipeline)
 }
 
 _SPLIT = """
@@ -84,7 +88,24 @@ WITH rest AS (
 )
 """
 
+
+def _license_sql() -> str:
+    """Every template at every shared shingle of every text, without retrieval."""
+    values = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(license_scan.TEMPLATES))
+    words = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+    grams = "list_transform(range(1, len(w) - 3), lambda i: list_aggregate(w[i:i + 4], 'string_agg', ' '))"
+    return f"""
+WITH t AS (SELECT template, license, unnest(list_distinct({grams})) AS g, len(list_distinct({grams})) AS n FROM (SELECT template, license, {words.format('text')} AS w FROM (VALUES {values}) v(template, license, text))),
+d AS (SELECT r, doc_id, unnest({grams}) AS g, unnest(range(0, len(w) - 4)) AS i FROM (SELECT row_number() OVER () AS r, doc_id, {words.format('text')} AS w FROM documents) WHERE len(w) >= 5),
+hit AS (SELECT r, doc_id, template, license, n, i, d.g FROM d JOIN t ON d.g = t.g),
+s AS (SELECT a.r, a.doc_id, a.template, a.license, a.n, a.i, count(DISTINCT b.g) AS c, max(b.i) AS last FROM hit a JOIN hit b ON a.r = b.r AND a.template = b.template AND b.i >= a.i AND b.i < a.i + a.n + a.n // 4 GROUP BY ALL),
+best AS (SELECT *, row_number() OVER (PARTITION BY r, template ORDER BY c DESC, i) AS k FROM s)
+SELECT doc_id, template, license, round(c / n, 6) AS containment, CAST(i AS INTEGER) AS first_word, CAST(last + 4 AS INTEGER) AS last_word FROM best WHERE k = 1 AND c / n >= 0.8
+"""
+
+
 SQL: dict[str, str] = {
+    "op6_license_scan": _license_sql(),
     "op1_url_filter": _SPLIT
     + """
 , judged AS (
