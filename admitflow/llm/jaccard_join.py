@@ -5,12 +5,13 @@ linked pairs differ in at most k = 2M(100-t)/(100+t) n-grams, so of more than k
 the same n-grams in both: sets that share no fragment's content can't be linked. Sizes are divided into
 levels of ratio 1.5, each with its own number of fragments; a set that may have a partner in the next level
 is entered there too. (A set with so many empty fragments that the bound says nothing is entered with its
-prefix of the order as well, where two such sets must meet.)
+prefix of the order as well, where two such sets must meet. The smallest fragments, as many as the bound spares, are
+left out, as unlike texts agree on them by chance.)
 
 Sets that meet are clustered. Within a cluster, overlaps are counted fragment by fragment of the order, each
 separately, and summed per pair in a dense array, from which the links are read. Small clusters are one unit
-of work; large ones are dealt out in blocks, each pair of blocks a unit, so a unit's memory is bounded
-whatever the cluster's size. Units return each set's number of links and a spanning forest, never the
+of work; large ones are dealt out by size, as linked sets' sizes are near, and sizes in blocks; each pair of blocks is
+a unit, so a unit's memory is bounded whatever the cluster's size. Units return each set's number of links and a spanning forest, never the
 pairs. Identical sets are one class throughout, so copies cost nothing.
 
 Defined cases: a text of fewer than n words is one n-gram; a null text or one without words has the empty
@@ -49,7 +50,7 @@ def levels(percent: int, top: int) -> list[tuple[int, int, int]]:
     while low <= top:
         high = math.ceil(low * 1.5) + 1
         k = 2 * (high - 1) * (100 - percent) // (100 + percent)
-        out.append((low, k, k + 2 + math.ceil(0.06 * k + 0.7 * math.sqrt(k))))
+        out.append((low, k, k + 1 + math.ceil(0.5 * k)))
         low = high
     return out
 
@@ -75,10 +76,16 @@ class _Keys:
                 continue  # only identical sets, which are one class already
             place = ((grams >> _U(32)) * _U(fragments)) >> _U(32)
             start = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-            out.append(mix(np.add.reduceat(mixed, start) ^ mix(place[start] + _U(level << 32))))
-            if fragments - len(start) > fragments - k - 1:
+            load = np.diff(start, append=n)
+            # Of a linked pair's fragments at least (fragments - k) agree, and agreeing ones are equally large: as
+            # many less one may be left out, the smallest first, which say the least.
+            spare = fragments - k - 1 - (fragments - len(start))
+            if spare < 0:
                 prefix = grams[: n - (-(-self.percent * n // 100)) + 1]
                 out.append(mix(prefix ^ mix(np.array([(1 << 63) + level], dtype=np.uint64))))
+                spare = 0
+            key = mix(np.add.reduceat(mixed, start) ^ mix(place[start] + _U(level << 32)))
+            out.append(key[load >= np.partition(load, spare)[spare]] if spare < len(load) else key)
         return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
 
 
@@ -102,8 +109,9 @@ def _sizes(n: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def finish(part: pa.RecordBatch) -> pa.RecordBatch:
-            columns = [*part.columns[1:], pa.array(sizes, pa.int64()), pa.array(prints, pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, names=[*part.schema.names[1:], "n_shingles", "fp"])
+            nodes = [None if p is None else _node(p) for p in prints]
+            columns = [*part.columns[1:], pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(prints, pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=[*part.schema.names[1:], "n_shingles", "node", "fp"])
 
         now, sizes, prints = None, [], []
         for part, row, grams, fp in _sets(batches, n):
@@ -306,8 +314,8 @@ def jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85, key: str = "doc
     raw = F.col(f"`{text}`").cast("binary").alias("raw")
     kind = docs.select(F.col(f"`{key}`").alias("key")).schema["key"].dataType.simpleString()
     own = docs.select(raw, F.col(f"`{key}`").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("text_hash"))
-    sized = materialise(own.mapInArrow(_sizes(n), f"key {kind}, text_hash long, n_shingles long, fp binary"), "sets")
-    classes = sized.filter("fp is not null").groupBy("fp").agg(F.min("key").alias("class_id"), F.count(F.lit(1)).alias("rows"), F.max("n_shingles").alias("n_shingles"))
+    sized = materialise(own.mapInArrow(_sizes(n), f"key {kind}, text_hash long, n_shingles long, node long, fp binary"), "sets")
+    classes = sized.filter("fp is not null").groupBy("fp").agg(F.min("key").alias("class_id"), F.count(F.lit(1)).alias("rows"), F.max("n_shingles").alias("n_shingles"), F.max("node").alias("node"))
 
     met = docs.select(raw).mapInArrow(_candidates(n, percent), "key long, node long, hub long")
     hub = F.coalesce("hub", F.min("node").over(Window.partitionBy("key")))
@@ -316,14 +324,19 @@ def jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85, key: str = "doc
 
     bits = _filter_bits(spark, clusters)
     members = docs.select(raw).mapInArrow(_members(n, bits), "node long, fp binary, grams binary")
+    # Linked sizes differ by one class at most: classes are a little wider than the least ratio of linked sizes.
+    band = F.floor(F.log(F.col("n_shingles").cast("double")) / math.log(100 / (percent - 1))).cast("int")
+    per_band = classes.join(clusters, "node").groupBy(F.col("root").alias("cluster"), band.alias("band")).agg(F.count(F.lit(1)).alias("sets"), F.sum("n_shingles").alias("grams"))
+    blocks = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")
+    sizes = per_band.groupBy("cluster").agg(F.sum("sets").alias("sets"), F.sum("grams").alias("grams"), F.map_from_entries(F.collect_list(F.struct("band", blocks.alias("blocks")))).alias("bands"))
+    small = (F.col("sets") <= BLOCK_SETS) & (F.col("grams") <= BLOCK_GRAMS)
+    sizes = materialise(sizes.filter("sets > 1").select("cluster", "sets", F.when(~small, F.col("bands")).alias("bands")), "cluster-sizes")
     members = members.join(clusters, "node").select(F.col("root").alias("cluster"), "fp", "grams")
-    members = materialise(members, "members")
-    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("sets"), F.sum(F.length("grams") / 8).alias("total"))
-    blocks = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("total") / BLOCK_GRAMS)).cast("int")
-    sizes = materialise(sizes.select("cluster", "sets", blocks.alias("blocks")).filter("sets > 1"), "cluster-sizes")
-    sized_members = skew_lookup(members, sizes, "cluster", "sets", "fp").filter("blocks is not null")
-    block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    dealt = sized_members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    members = members.withColumn("n_shingles", F.length("grams") / 8).withColumn("band", band)
+    met = skew_lookup(members, sizes.withColumn("known", F.lit(True)), "cluster", "sets", "fp").filter("known")
+    label = F.when(F.col("bands").isNull(), F.lit(0).cast("long")).otherwise(F.col("band") * (1 << 32) + F.pmod(F.xxhash64("fp"), F.col("bands")[F.col("band")]))
+    near = F.expr(f"flatten(transform(array(band - 1, band, band + 1), x -> if(map_contains_key(bands, x), transform(sequence(0, bands[x] - 1), y -> x * {1 << 32}L + y), cast(array() as array<bigint>))))")
+    dealt = met.withColumn("block", label).withColumn("other", F.explode(F.when(F.col("bands").isNull(), F.array(F.lit(0).cast("long"))).otherwise(near)))
     unit = F.concat_ws(":", "cluster", F.least("block", "other"), F.greatest("block", "other"))
     dealt = dealt.select(unit.alias("unit"), "fp", "grams", "block", (F.col("block") != F.col("other")).alias("cross"))
     # a pair of different blocks gets rows of both, all of them marked as crossing
