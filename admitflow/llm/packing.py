@@ -15,50 +15,88 @@ count), and a retried task makes the same sequences of the same rows.
 from __future__ import annotations
 
 import heapq
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words whose ids are remembered by a worker; beyond, it forgets all and goes on.
-MEMO_WORDS = 300_000
+#: Pieces whose ids are remembered by a worker; beyond, it forgets all and goes on.
+MEMO_WORDS = 500_000
 
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class WordIds(dict):
-    """Little-endian unsigned 32-bit ids of texts, remembered by blank-separated word.
+    """Little-endian unsigned 32-bit ids of texts, remembered by piece.
 
-    Only right for tokenizers that drop blanks and never join across them, as those that lower-case, split at
-    white space and merge within words do; `by_word=False` encodes each text as a whole instead.
+    A tokenizer that lower-cases, drops white space and merges within the pieces of a regular expression gives a
+    text the ids of its pieces in a row, so each piece is encoded once. Texts with characters in which Python and
+    the tokenizer might part (beyond U+024F, odd spaces, special tokens) are encoded whole, as are all
+    texts of any other tokenizer.
     """
 
-    def __init__(self, path: str, by_word: bool = True):
+    #: What marks a text as plain for the pieces' expression.
+    PLAIN = re.compile(r"[\x00-\x1b\x20-\x84\x86-\x9f\xa1-\u024f]*")
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.by_word, self.tokenizer = by_word, Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        self.pieces = self._expression(json.loads(self.tokenizer.to_str()))
+        self.words: dict[str, bytes] = {}  # ids by blank-separated word, which spare most words the expression
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
+    @staticmethod
+    def _expression(told: dict):
+        import regex
 
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        steps = [n.get("type") for n in (told["normalizer"] or {}).get("normalizers", [])]
+        split = (told["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
+        if steps == ["NFC", "Replace", "Lowercase"] and split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert") and told["model"].get("end_of_word_suffix"):
+            return regex.compile(split["pattern"]["Regex"])
+        return None
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.by_word:
-            return self._encode(texts)
-        if len(self) > MEMO_WORDS:
-            self.clear()
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        missing = list({w for words in split for w in words if w not in self})
+    def _learn(self, missing: list[str]) -> None:
+        """Encode pieces in one text, blank-separated; each is one word of it."""
         for at in range(0, len(missing), 4096):
             part = missing[at : at + 4096]
-            self.update(zip(part, self._encode(part), strict=True))
-        return [b"".join(map(self.__getitem__, words)) for words in split]
+            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids, words = np.array(found.ids, dtype="<u4"), np.array(found.word_ids)
+            cut = np.searchsorted(words, np.arange(len(part) + 1)).tolist()
+            raw = ids.tobytes()
+            self.update((w, raw[4 * i : 4 * j]) for w, i, j in zip(part, cut, cut[1:]))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        plain = [bool(self.pieces) and "<|" not in t and self.PLAIN.fullmatch(t) is not None for t in texts]
+        for memo in (self, self.words):
+            if len(memo) > MEMO_WORDS:
+                memo.clear()
+        split = [t.replace("\n", " ").split(" ") if ok else [] for t, ok in zip(texts, plain, strict=True)]
+        new = {w: self.pieces.findall(w.lower()) for w in {w for words in split for w in words if w not in self.words}}
+        self._learn(list({p for pieces in new.values() for p in pieces if p not in self}))
+        self.words.update((w, b"".join(map(self.__getitem__, pieces))) for w, pieces in new.items())
+        out = [b"".join(map(self.words.__getitem__, words)) for words in split]
+        rest = [i for i, ok in enumerate(plain) if not ok]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, dtype="<u4").tobytes()
+        return out
+
+
+_kept: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """A worker's tokenizer, kept from task to task."""
+    if path not in _kept:
+        _kept[path] = WordIds(path)
+    return _kept[path]
 
 
 def pack_group(lengths: list[int], capacity: int, linear: float, quadratic: float) -> list[tuple[int, int, int, int, int]]:
@@ -113,9 +151,9 @@ def pack_group(lengths: list[int], capacity: int, linear: float, quadratic: floa
     return out
 
 
-def _packer(path: str, end_id: int, capacity: int, linear: float, quadratic: float, group_tokens: int, by_word: bool):
+def _packer(path: str, end_id: int, capacity: int, linear: float, quadratic: float, group_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = WordIds(path, by_word)
+        ids_of = word_ids(path)
         end = end_id.to_bytes(4, "little")
         base, count = TaskContext.get().partitionId() << 36, 0
         keys: list = []
@@ -153,9 +191,9 @@ def _packer(path: str, end_id: int, capacity: int, linear: float, quadratic: flo
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 4096, linear: float = 1.0, quadratic: float = 1 / 4096, group_tokens: int = 4_000_000, by_word: bool = True, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 4096, linear: float = 1.0, quadratic: float = 1 / 4096, group_tokens: int = 4_000_000, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset; each id lies in exactly one piece."""
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
-    run = _packer(tokenizer, end_id, capacity, linear, quadratic, group_tokens, by_word)
+    run = _packer(tokenizer, end_id, capacity, linear, quadratic, group_tokens)
     return rows.mapInArrow(run, f"key {kind}, {PIECE}").withColumnRenamed("key", key)
