@@ -273,7 +273,7 @@ _OWN = {
   s AS (SELECT item_id AS query_id, doc_id, round(sum(-(CASE WHEN ln((n_docs - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n_docs - df + 0.5) / (df + 0.5)) END) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / avg_length))), 6) AS score
     FROM q JOIN p USING (token) JOIN f USING (col, token) CROSS JOIN n GROUP BY ALL),
   r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, doc_id) AS rank FROM s) SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 50""",
-    "upsert_latest": "WITH r AS (SELECT user_id, event_type, CAST(epoch(ts) AS DOUBLE) AS at, event_id, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) SELECT user_id, event_type, at, event_id, value FROM r WHERE n = 1",
+    "upsert_latest": "WITH r AS (SELECT user_id, event_type, CAST(epoch(ts) AS DOUBLE) AS \"at\", event_id, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) SELECT user_id, event_type, \"at\", event_id, value FROM r WHERE n = 1",
     "index_stats": "SELECT user_id, count(*) AS n, CAST(min(epoch(ts)) AS DOUBLE) AS oldest, CAST(max(epoch(ts)) AS DOUBLE) AS newest, 1707900000.0 - max(epoch(ts)) > 1209600 AS is_stale FROM events GROUP BY user_id",
 }
 
