@@ -76,14 +76,13 @@ def dublin_core(raw: DataFrame, payload: str = "raw") -> DataFrame:
 
 def oai_records(pages: DataFrame, xml: str = "xml") -> DataFrame:
     """SRC8: the Dublin Core records of OAI-PMH pages, with each page's token and protocol error."""
-    each = "//*[local-name()='record']"
-    part = lambda name: F.expr(f"""xpath({xml}, concat("{each}[", i, "]//*[local-name()='{name}']/text()"))""")
-    count = F.expr(f"""cast(xpath_int({xml}, "count({each})") as int)""")
     own = pages.withColumn("error", F.expr(f"""nullif(xpath_string({xml}, "//*[local-name()='error']/@code"), '')""")).withColumn("token", F.expr(f"""nullif(trim(xpath_string({xml}, "//*[local-name()='resumptionToken']")), '')"""))
-    numbered = own.withColumn("i", F.explode_outer(F.when(count > 0, F.sequence(F.lit(1), count))))
-    head = F.expr(f"""nullif(xpath_string({xml}, concat("{each}[", i, "]/*[local-name()='header']/*[local-name()='identifier']")), '')""")
+    # xpath takes constant paths only, so a page is cut into its records first
+    cut = own.withColumn("_record", F.explode_outer(F.regexp_extract_all(xml, F.lit(r"(?s)<record[\s>].*?</record>"), F.lit(0))))
+    head = F.expr("""nullif(xpath_string(_record, "//*[local-name()='header']/*[local-name()='identifier']"), '')""")
+    part = lambda name: F.expr(f"""xpath(_record, "//*[local-name()='{name}']/text()")""")
     names = {"title": "titles", "creator": "creators", "date": "dates", "description": "descriptions", "source": "sources"}
-    return numbered.select(*pages.columns, "error", "token", head.alias("identifier"), *[part(k).alias(v) for k, v in names.items()])
+    return cut.select(*pages.columns, "error", "token", head.alias("identifier"), *[part(k).alias(v) for k, v in names.items()])
 
 
 def http_state(status: Column, exception: Column, body: Column) -> Column:
