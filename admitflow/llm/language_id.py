@@ -68,8 +68,8 @@ class Network:
         return z / z.sum(axis=1, keepdims=True)
 
 
-def fit(x: np.ndarray, y: np.ndarray, languages: list[str], embed: int = 4, per_width: int = 8, epochs: int = 6, batch: int = 128, rate: float = 4e-3, seed: int = 11) -> Network:
-    """Cross-entropy, Adam; gradients pass a filter only where it had its maximum."""
+def fit(x: np.ndarray, y: np.ndarray, languages: list[str], embed: int = 4, per_width: int = 8, epochs: int = 6, steps: int = 300, batch: int = 128, rate: float = 4e-3, seed: int = 11) -> Network:
+    """Cross-entropy, Adam, at least `steps` batches; gradients pass a filter only where it had its maximum."""
     rng = np.random.default_rng(seed)
     f, w = per_width * len(WIDTHS), max(WIDTHS)
     live = np.zeros((w, embed, f), dtype=np.float32)
@@ -81,8 +81,9 @@ def fit(x: np.ndarray, y: np.ndarray, languages: list[str], embed: int = 4, per_
     names = ("embed", "filters", "bias", "out", "out_bias")
     first, second = ({k: np.zeros_like(getattr(n, k)) for k in names} for _ in range(2))
     t = 0
-    for _ in range(epochs):
-        for own in np.array_split(rng.permutation(len(x)), max(1, len(x) // batch)):
+    batches = max(1, len(x) // batch)
+    for _ in range(max(epochs, -(-steps // batches)) if len(x) else 0):
+        for own in np.array_split(rng.permutation(len(x)), batches):
             xb, yb, b = x[own], y[own], len(own)
             p = np.ascontiguousarray(n.patches(xb))
             hit = (p.reshape(-1, p.shape[2]) @ n.filters).reshape(b, p.shape[1], f)
@@ -118,7 +119,7 @@ def train(docs: DataFrame, per_language: int = 400, windows_per_row: int = 8, ke
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     languages = sorted(r["lang"] for r in found)
     if not languages:
-        return fit(np.zeros((0, WINDOW), np.uint8), np.zeros(0, int), [UNKNOWN], epochs=0)
+        return fit(np.zeros((0, WINDOW), np.uint8), np.zeros(0, int), [UNKNOWN])
     share = docs.sparkSession.createDataFrame([(r["lang"], min(1 << 20, (per_language << 20) // r["n"] + 1)) for r in found], "lang string, share long")
     chosen = usable.join(F.broadcast(share), "lang").filter(F.pmod(F.xxhash64("key", F.lit("language")), F.lit(1 << 20)) < F.col("share"))
 
@@ -136,7 +137,7 @@ def train(docs: DataFrame, per_language: int = 400, windows_per_row: int = 8, ke
     table = chosen.select("lang", "raw").mapInArrow(cut, "lang string, part binary").toArrow()
     rows = sorted(zip(table.column(0).to_pylist(), table.column(1).to_pylist(), strict=True))
     x = np.frombuffer(b"".join(r[1] for r in rows), dtype=np.uint8).reshape(-1, WINDOW)
-    return fit(x, np.array([languages.index(r[0]) for r in rows], dtype=int), languages, epochs=6 if rows else 0)
+    return fit(x, np.array([languages.index(r[0]) for r in rows], dtype=int), languages)
 
 
 def predict(docs: DataFrame, network: Network, key: str = "doc_id", text: str = "text", batch_windows: int = 256) -> DataFrame:
