@@ -8,6 +8,11 @@ is entered there too. (A set with so many empty fragments that the bound says no
 prefix of the order as well, where two such sets must meet. The smallest fragments, as many as the bound spares, are
 left out, as unlike texts agree on them by chance.)
 
+Most sets need not meet at all: linked sets share at least t % of their own n-grams, so a set with fewer n-grams
+that any other set holds has no partner. Those are counted first, range by range of the order: a scan sends each
+chunk's distinct n-grams to their ranges once, ranges tell which of them other chunks hold, and chunks sum that
+per set. (Ranges compare 32 bits after their own: a false match only lets a set through.)
+
 Sets that meet are clustered. Within a cluster, overlaps are counted fragment by fragment of the order, each
 separately, and summed per pair in a dense array, from which the links are read. Small clusters are one unit
 of work; large ones are dealt out by size, as linked sets' sizes are near, and sizes in blocks; each pair of blocks is
@@ -27,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -41,7 +47,9 @@ CHUNK_KEYS = 1 << 20
 #: Most sets and n-grams in one block of a large cluster.
 BLOCK_SETS, BLOCK_GRAMS = 1024, 1 << 20
 #: Bits of the filter that spares sets without a candidate the shuffle; it lets more through when full.
-FILTER_BITS = 1 << 24
+FILTER_BITS = 1 << 26
+#: N-grams that a range of the order holds, about; most sets of a chunk, whose places in it take 16 bits.
+RANGE_GRAMS, CHUNK_SETS = 1 << 23, 60_000
 
 
 def levels(percent: int, top: int) -> list[tuple[int, int, int]]:
@@ -100,6 +108,12 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.Record
                 yield part, row, grams, xxhash.xxh3_128_digest(grams.tobytes()) if len(grams) else None
 
 
+def _passes(bits, fp: bytes) -> bool:
+    """Whether the broadcast filter has the set; it may have others too."""
+    at = _node(fp) % FILTER_BITS
+    return bool(bits.value[at >> 6] >> (at & 63) & 1)
+
+
 def _node(print_: bytes) -> int:
     return int.from_bytes(print_[:8], "little", signed=True)
 
@@ -127,8 +141,109 @@ def _sizes(n: int):
     return run
 
 
-def _candidates(n: int, percent: int):
-    """Scan 2: (key, node, hub). A task's own meetings come as edges (hub set); each of its keys goes out once, with one node."""
+def _deal(n: int, percent: int, bits: int):
+    """Scan 2: (part, chunk, grams, owners, nodes, need) per chunk of sets and range (the first `bits` bits).
+
+    Each n-gram of a chunk goes out once, with the place of its set or, if several sets of the chunk hold it, with
+    CHUNK_SETS. A chunk's first row has its sets and how many n-grams each must share beyond the chunk.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        nodes, sets, size, count = [], [], 0, 0
+        base = TaskContext.get().partitionId() << 32
+
+        def flush() -> pa.RecordBatch:
+            lengths = np.array([len(s) for s in sets])
+            gram, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.uint16), lengths)
+            order = np.argsort(gram, kind="stable")
+            gram, owner = gram[order], owner[order]
+            start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+            df = np.diff(start, append=len(gram))
+            shared = np.bincount(owner[np.repeat(df > 1, df)], minlength=len(sets))
+            need = -(-percent * lengths // 100) - shared
+            gram, owner = gram[start], np.where(df > 1, CHUNK_SETS, owner[start]).astype("<u2")
+            value = ((gram << _U(bits)) >> _U(32)).astype("<u4")
+            part = (gram >> _U(64 - bits)).astype(np.int64)
+            cut = np.flatnonzero(np.diff(part, prepend=-1))
+            ends = [*cut[1:].tolist(), len(part)]
+            told = [None] * (len(cut) - 1)
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array(part[cut]), pa.array(np.full(len(cut), base + count)),
+                    pa.array([value[i:j].tobytes() for i, j in zip(cut.tolist(), ends)], pa.binary()), pa.array([owner[i:j].tobytes() for i, j in zip(cut.tolist(), ends)], pa.binary()),
+                    pa.array([np.array(nodes, dtype="<i8").tobytes(), *told], pa.binary()), pa.array([need.astype("<i8").tobytes(), *told], pa.binary()),
+                ],
+                names=["part", "chunk", "grams", "owners", "nodes", "need"],
+            )
+
+        for _, _, grams, fp in _sets(batches, n):
+            if fp is None or fp in seen:
+                continue
+            seen.add(fp)
+            nodes.append(_node(fp))
+            sets.append(grams)
+            size += len(grams)
+            if size >= CHUNK_KEYS or len(sets) >= CHUNK_SETS:
+                yield flush()
+                nodes, sets, size, count = [], [], 0, count + 1
+        if sets:
+            yield flush()
+
+    return run
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """The rows of each value of column 0 of a stream sorted by it."""
+    held: list[dict] = []
+    for batch in batches:
+        name = batch.schema.names[0]
+        for row in batch.to_pylist():
+            if held and held[0][name] != row[name]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per range: (chunk, places of the sets of n-grams that another chunk holds too, nodes, need)."""
+    for rows in _groups(batches):
+        values = [np.frombuffer(r["grams"], dtype="<u4") for r in rows]
+        owners = [np.frombuffer(r["owners"], dtype="<u2") for r in rows]
+        every = np.concatenate([*values, *(v[o == CHUNK_SETS] for v, o in zip(values, owners, strict=True))])
+        every.sort()
+        often = every[1:][every[1:] == every[:-1]]
+        found = []
+        for v, o in zip(values, owners, strict=True):
+            v, o = v[o < CHUNK_SETS], o[o < CHUNK_SETS]
+            at = np.searchsorted(often, v)
+            found.append(o[at < len(often)][often[at[at < len(often)]] == v[at < len(often)]].tobytes())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r["chunk"] for r in rows], pa.int64()), pa.array(found, pa.binary()), *[pa.array([r[c] for r in rows], pa.binary()) for c in ("nodes", "need")]], names=["chunk", "owners", "nodes", "need"]
+        )
+
+
+def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per chunk: its sets that share enough n-grams to have a partner."""
+    for rows in _groups(batches):
+        told = next(r for r in rows if r["nodes"] is not None)
+        nodes, need = np.frombuffer(told["nodes"], dtype="<i8"), np.frombuffer(told["need"], dtype="<i8")
+        shared = np.bincount(np.frombuffer(b"".join(r["owners"] for r in rows), dtype="<u2"), minlength=len(nodes))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[shared >= need])], names=["node"])
+
+
+def live_sets(raw: DataFrame, n: int, percent: int, total: int) -> DataFrame:
+    """Nodes of the sets, `total` n-grams in all, of whose n-grams others hold enough for a link."""
+    bits = max(1, math.ceil(math.log2(max(total, 1) / RANGE_GRAMS)))
+    dealt = raw.mapInArrow(_deal(n, percent, bits), "part long, chunk long, grams binary, owners binary, nodes binary, need binary")
+    met = dealt.repartition("part").sortWithinPartitions("part").mapInArrow(_match, "chunk long, owners binary, nodes binary, need binary")
+    return met.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_live, "node long").distinct()
+
+
+def _candidates(n: int, percent: int, bits):
+    """Scan 3 of the sets that the filter lets through: (key, node, hub). A task's own meetings come as edges (hub set); each of its keys goes out once, with one node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys_of = _Keys(percent)
@@ -147,7 +262,7 @@ def _candidates(n: int, percent: int):
             return pa.RecordBatch.from_arrays([pa.array(out_key), pa.array(np.concatenate([node[first], pairs[0]])), out_hub], names=["key", "node", "hub"])
 
         for _, _, grams, fp in _sets(batches, n):
-            if fp is None or fp in seen:
+            if fp is None or fp in seen or not _passes(bits, fp):
                 continue
             seen.add(fp)
             own = keys_of.of(grams)
@@ -164,8 +279,8 @@ def _candidates(n: int, percent: int):
     return run
 
 
-def _members(n: int, bits: np.ndarray):
-    """Scan 3: (node, fp, grams) of the distinct sets that the filter lets through."""
+def _members(n: int, bits):
+    """Scan 4: (node, fp, grams) of the distinct sets that the filter lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -176,10 +291,7 @@ def _members(n: int, bits: np.ndarray):
             return pa.RecordBatch.from_arrays([pa.array([_node(r[0]) for r in rows], pa.int64()), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["node", "fp", "grams"])
 
         for _, _, grams, fp in _sets(batches, n):
-            if fp is None or fp in seen:
-                continue
-            at = _node(fp) % FILTER_BITS
-            if not bits.value[at >> 6] >> (at & 63) & 1:
+            if fp is None or fp in seen or not _passes(bits, fp):
                 continue
             seen.add(fp)
             rows.append((fp, grams.tobytes()))
@@ -317,7 +429,9 @@ def jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85, key: str = "doc
     sized = materialise(own.mapInArrow(_sizes(n), f"key {kind}, text_hash long, n_shingles long, node long, fp binary"), "sets")
     classes = sized.filter("fp is not null").groupBy("fp").agg(F.min("key").alias("class_id"), F.count(F.lit(1)).alias("rows"), F.max("n_shingles").alias("n_shingles"), F.max("node").alias("node"))
 
-    met = docs.select(raw).mapInArrow(_candidates(n, percent), "key long, node long, hub long")
+    total = classes.agg(F.sum("n_shingles")).first()[0] or 0
+    live = materialise(live_sets(docs.select(raw), n, percent, total), "live")
+    met = docs.select(raw).mapInArrow(_candidates(n, percent, _filter_bits(spark, live)), "key long, node long, hub long")
     hub = F.coalesce("hub", F.min("node").over(Window.partitionBy("key")))
     clusters = connected_components(met.select("node", hub.alias("hub")), "node", "hub")
     clusters = materialise(clusters, "clusters")
