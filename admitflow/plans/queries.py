@@ -66,7 +66,7 @@ def discovery_relevance(d: Dialect) -> str:
 def statement_type(d: Dialect) -> str:
     cues = _values(d, "cue", [(c,) for c in CUES])
     return f"""SELECT doc_id, cue, {R.statement_type(d, 'x', 't')} AS statement_type FROM
-      (SELECT doc_id, cue, lower(p) AS x, {R.tokens(d, 'p')} AS t FROM (SELECT doc_id, cue, cue || ' ' || substr(text, 1, 300) AS p FROM documents CROSS JOIN {cues}) y) z"""
+      (SELECT doc_id, cue, lower(p) AS x, {R.tokens(d, 'p')} AS t FROM (SELECT doc_id, cue, cue || ' ' || text AS p FROM documents CROSS JOIN {cues}) y) z"""
 
 
 def _turns() -> str:

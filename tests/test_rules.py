@@ -85,3 +85,31 @@ def test_projections(spark):
     page = "<OAI-PMH><ListRecords><record><header><identifier>a</identifier></header><metadata><dc><title>One</title><title>Eins</title></dc></metadata></record></ListRecords><resumptionToken>t2</resumptionToken></OAI-PMH>"
     r = P.oai_records(spark.createDataFrame([(page,)], "xml string")).first()
     assert (r["identifier"], r["titles"], r["token"]) == ("a", ["One", "Eins"], "t2")
+
+
+def run_query(spark, folder, name, **tables):
+    from admitflow.plans import queries as Q
+
+    for table, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(f"{folder}/{table}.parquet")
+    return [tuple(r) for r in Q.QUERIES[name](spark, str(folder)).collect()]
+
+
+def test_statement_type_reads_whole_texts(spark, tmp_path):
+    filler = "plain words stand here and say little" + " of any weight" * 40
+    texts = [filler, filler + ". In summary, this holds", filler + " whether. our study found more", filler + " whether the study found it", filler + " if it was so. we used rats"]
+    got = {(i, cue): kind for i, cue, kind in run_query(spark, tmp_path, "statement_type", documents=(list(enumerate(texts)), "doc_id long, text string"))}
+    assert [got[i, "increases"] for i in range(5)] == ["BACKGROUND", "CONCLUSION", "RESULT", "BACKGROUND", "METHOD"]
+
+
+def test_found_pattern_against_brute_force(spark):
+    import re
+
+    from admitflow.functions import vocab as V
+
+    draw = random.Random(8)
+    bits = ["this study found", "our  trial found", "the paper", "found", "whether", ".", "!", "?", "we", "\n", "\x01", " if ", "never found"]
+    texts = [" ".join(draw.choices(bits, k=draw.randrange(14))) for _ in range(400)]
+    want = [[f.group(0).replace("\x01", "\x02") for f in re.finditer("[^.!?]*?" + V.FOUND_PATTERN, t)] for t in texts]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, x string").orderBy("i").selectExpr(R._found_by_splitting(SPARK, "x"))
+    assert [r[0] for r in rows.collect()] == want
