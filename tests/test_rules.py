@@ -113,3 +113,13 @@ def test_found_pattern_against_brute_force(spark):
     want = [[f.group(0).replace("\x01", "\x02") for f in re.finditer("[^.!?]*?" + V.FOUND_PATTERN, t)] for t in texts]
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, x string").orderBy("i").selectExpr(R._found_by_splitting(SPARK, "x"))
     assert [r[0] for r in rows.collect()] == want
+
+
+def test_calls_count_every_event(spark, tmp_path):
+    schema = "event_id long, user_id long, event_type string"
+    events = [(0, 1, "view"), (4, 1, "error"), (3, 1, "view"), (7, 1, "click"), (1, 2, "signup")]
+    got = {(u, source): status for u, source, status in run_query(spark, tmp_path, "coverage_fold", events=(events, schema))}
+    assert [got[1, a] for a in ("OPENALEX", "CROSSREF", "PUBMED", "THAIJO", "THAIJO:so01", "TNRR")] == ["UNAVAILABLE", "PLANNED", "PLANNED", "STALE", "STALE", "NOT_CONNECTED"]
+    assert (got[2, "CROSSREF"], got[2, "THAIJO:so01"]) == ("SEARCHED_OK", "PLANNED")
+    assert sorted(run_query(spark, tmp_path, "track_status", events=(events, schema))) == [(1, "global", "degraded"), (1, "local", "ok"), (2, "global", "unchanged")]
+    assert sorted(run_query(spark, tmp_path, "not_found_bucket", events=(events, schema))) == [(1, "hit"), (2, "not_found")]
