@@ -183,13 +183,16 @@ def not_found_bucket(d: Dialect) -> str:
 
 
 def fetch_evidence(d: Dialect) -> str:
-    """JON8, SRT3: ids as ADAPTER:id; rows with an abstract first, then in order."""
-    return f"""WITH ids AS (SELECT upper(adapter) || ':' || record_id AS source_id FROM ({_cand(d)}) c WHERE ord % 10 = 0 UNION ALL SELECT 'DOI:' || doi FROM ({_cand(d)}) c WHERE ord % 11 = 1 AND doi IS NOT NULL UNION ALL SELECT 'nonsense' FROM documents WHERE doc_id = 0),
-      k AS (SELECT source_id, upper(split_part(source_id, ':', 1)) AS kind, substr(source_id, {d.at('source_id', d.text(':'))} + 1) AS id FROM (SELECT DISTINCT source_id FROM ids) i),
-      c AS ({_cand(d)}), m AS (SELECT k.source_id, c.* FROM k JOIN c ON kind = adapter AND id = record_id UNION ALL SELECT k.source_id, c.* FROM k JOIN c ON kind = 'DOI' AND {R.gate_id(d, 'id')} = {R.gate_id(d, 'doi')}),
-      r AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY CASE WHEN trim(abstract) <> '' THEN 0 ELSE 1 END, ord) AS nth FROM m)
-      SELECT k.source_id, CASE WHEN r.ord IS NULL THEN 'UNAVAILABLE' ELSE 'OK' END AS status, CASE WHEN trim(abstract) <> '' THEN 'ABSTRACT' WHEN r.ord IS NOT NULL THEN 'METADATA' END AS level, r.ord AS record
-      FROM k LEFT JOIN r ON r.source_id = k.source_id AND nth = 1"""
+    """JON8, SRT3: every ADAPTER:id and DOI:id is asked for; of a record's rows the first with an abstract counts, else the first."""
+    kind = "upper(split_part(source_id, ':', 1))"
+    id_ = f"substr(source_id, {d.at('source_id', d.text(':'))} + 1)"
+    return f"""WITH c AS (SELECT ord, upper(adapter) AS adapter, record_id, doi, CASE WHEN trim(abstract) <> '' THEN ord END AS whole FROM ({_cand(d)}) x),
+      ids AS (SELECT adapter || ':' || record_id AS source_id FROM c UNION SELECT 'DOI:' || doi FROM c WHERE doi IS NOT NULL UNION SELECT 'nonsense' AS source_id),
+      k AS (SELECT source_id, {kind} AS kind, CASE WHEN {kind} = 'DOI' THEN {R.gate_id(d, id_)} ELSE {id_} END AS id FROM ids),
+      r AS (SELECT adapter AS kind, record_id AS id, min(whole) AS whole, min(ord) AS first FROM c GROUP BY adapter, record_id
+        UNION ALL SELECT 'DOI' AS kind, id, min(whole) AS whole, min(ord) AS first FROM (SELECT {R.gate_id(d, 'doi')} AS id, whole, ord FROM c WHERE doi IS NOT NULL) n GROUP BY id)
+      SELECT k.source_id, CASE WHEN r.first IS NULL THEN 'UNAVAILABLE' ELSE 'OK' END AS status, CASE WHEN r.whole IS NOT NULL THEN 'ABSTRACT' WHEN r.first IS NOT NULL THEN 'METADATA' END AS level,
+        coalesce(r.whole, r.first) AS record FROM k LEFT JOIN r ON r.kind = k.kind AND r.id = k.id"""
 
 
 def verdict_pivot(d: Dialect) -> str:

@@ -123,3 +123,16 @@ def test_calls_count_every_event(spark, tmp_path):
     assert (got[2, "CROSSREF"], got[2, "THAIJO:so01"]) == ("SEARCHED_OK", "PLANNED")
     assert sorted(run_query(spark, tmp_path, "track_status", events=(events, schema))) == [(1, "global", "degraded"), (1, "local", "ok"), (2, "global", "unchanged")]
     assert sorted(run_query(spark, tmp_path, "not_found_bucket", events=(events, schema))) == [(1, "hit"), (2, "not_found")]
+
+
+def test_fetch_evidence_asks_for_every_record(spark, tmp_path):
+    from hashlib import md5
+
+    docs = [(i, text, "s", 9) for i, text in enumerate(["same", "same", "", "x", "", "same", "y"])]
+    got = {r[0]: r[1:] for r in run_query(spark, tmp_path, "fetch_evidence", documents=(docs, "doc_id long, text string, source string, n_chars int"))}
+    names = ["OPENALEX", "CROSSREF", "PUBMED", "THAIJO"]
+    want = {f"{names[i % 4]}:{i}": ("OK", "ABSTRACT" if text else "METADATA", i) for i, text, _, _ in docs}
+    for i, text, _, _ in reversed(docs):
+        if i % 3:
+            want["DOI:10.5555/" + md5(text.encode()).hexdigest()] = ("OK", "ABSTRACT" if text else "METADATA", i)
+    assert got == want | {"nonsense": ("UNAVAILABLE", None, None)}
