@@ -78,11 +78,12 @@ def oai_records(pages: DataFrame, xml: str = "xml") -> DataFrame:
     """SRC8: the Dublin Core records of OAI-PMH pages, with each page's token and protocol error."""
     own = pages.withColumn("error", F.expr(f"""nullif(xpath_string({xml}, "//*[local-name()='error']/@code"), '')""")).withColumn("token", F.expr(f"""nullif(trim(xpath_string({xml}, "//*[local-name()='resumptionToken']")), '')"""))
     # xpath takes constant paths only, so a page is cut into its records first
-    cut = own.withColumn("_record", F.explode_outer(F.regexp_extract_all(xml, F.lit(r"(?s)<record[\s>].*?</record>"), F.lit(0))))
+    cut = own.withColumn("_record", F.explode_outer(F.regexp_extract_all(xml, F.lit(r"(?s)<((?:[\w.-]+:)?)record[\s>].*?</\1record\s*>"), F.lit(0))))
     head = F.expr("""nullif(xpath_string(_record, "//*[local-name()='header']/*[local-name()='identifier']"), '')""")
     part = lambda name: F.expr(f"""xpath(_record, "//*[local-name()='{name}']/text()")""")
+    own_ids = F.expr("""xpath(_record, "//*[local-name()='metadata']//*[local-name()='identifier']/text()")""")  # the header has one too
     names = {"title": "titles", "creator": "creators", "date": "dates", "description": "descriptions", "source": "sources"}
-    return cut.select(*pages.columns, "error", "token", head.alias("identifier"), *[part(k).alias(v) for k, v in names.items()])
+    return cut.select(*pages.columns, "error", "token", head.alias("identifier"), own_ids.alias("identifiers"), *[part(k).alias(v) for k, v in names.items()])
 
 
 def http_state(status: Column, exception: Column, body: Column) -> Column:

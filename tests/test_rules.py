@@ -136,3 +136,22 @@ def test_fetch_evidence_asks_for_every_record(spark, tmp_path):
         if i % 3:
             want["DOI:10.5555/" + md5(text.encode()).hexdigest()] = ("OK", "ABSTRACT" if text else "METADATA", i)
     assert got == want | {"nonsense": ("UNAVAILABLE", None, None)}
+
+
+@pytest.mark.parametrize("prefix", ["", "oai:"])
+def test_harvested_pages_keep_doi_and_url(spark, prefix):
+    from pyspark.sql import functions as F
+
+    from admitflow.sources import projections as P
+
+    ids = [["http://a/1", "https://doi.org/10.4/w"], ["10.5/v"], []]
+    records = "".join(
+        f"<o:record><o:header><o:identifier>oai:{i}</o:identifier></o:header><o:metadata><oai_dc:dc><dc:title>T{i}</dc:title>{''.join(f'<dc:identifier>{x}</dc:identifier>' for x in own)}</oai_dc:dc></o:metadata></o:record>"
+        for i, own in enumerate(ids)
+    )
+    page = f'<o:OAI-PMH xmlns:oai="http://www.openarchives.org/OAI/2.0/" xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:oai_dc="http://www.openarchives.org/OAI/2.0/oai_dc/"><o:ListRecords>{records}</o:ListRecords></o:OAI-PMH>'
+    for tag in ("OAI-PMH", "ListRecords", "record", "header", "identifier", "metadata"):
+        page = page.replace(f"<o:{tag}", f"<{prefix}{tag}").replace(f"</o:{tag}", f"</{prefix}{tag}")
+    cut = P.oai_records(spark.createDataFrame([(page,)], "xml string")).drop("xml")
+    rows = P.dublin_core(cut.select(F.to_json(F.struct("*")).alias("raw"))).orderBy("source_record_id").collect()
+    assert [(r["source_record_id"], r["title"], r["doi"], r["url"]) for r in rows] == [("oai:0", "T0", "10.4/w", "http://a/1"), ("oai:1", "T1", "10.5/v", None), ("oai:2", "T2", None, None)]
