@@ -2,24 +2,45 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder (tests, local runs).
+#: Used only in local mode, where the session names no shared folder (tests, local runs).
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+#: Most bytes of rows in one Arrow batch between the JVM and Python, unless the session says otherwise.
+BATCH_BYTES = 8 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a local one is set only where that is unset."""
+    """The cluster's shared folder (spark.checkpoint.dir); where that is unset, a local one in local mode, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(LOCAL_CHECKPOINTS)
         found = LOCAL_CHECKPOINTS
     return found.rstrip("/")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let Arrow batches end at BATCH_BYTES, where the session has Spark's default (64 MB, held once more by Python)."""
+    if spark.conf.get(_BATCH_SETTING) == "67108864b":
+        spark.conf.set(_BATCH_SETTING, f"{BATCH_BYTES}b")
+
+
+def free_name(base: str, *taken: Iterable[str]) -> str:
+    """base, with as many underscores as keep it apart from the names taken (upper or lower case)."""
+    used = {name.lower() for names in taken for name in names}
+    while base.lower() in used:
+        base += "_"
+    return base
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has used yet."""
     return f"{shared_dir(spark)}/admitflow/{name}-{uuid.uuid4().hex}"
