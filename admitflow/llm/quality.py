@@ -18,12 +18,14 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from admitflow.llm.sampling import is_held_out
 from admitflow.llm.text_hash import many_word_hashes
+from admitflow.plans.shared import bound_batches
 
 BUCKETS = 1 << 15
 _PUNCTUATION = [b for b in range(33, 127) if not chr(b).isalnum()]
@@ -162,33 +164,39 @@ def train(docs: DataFrame, labels: DataFrame, metadata: Sequence[str] = ("n_char
     return fit(bucket, value, sizes, dense, table.column(0).to_numpy().astype(np.float32))
 
 
-def score(docs: DataFrame, machine: Machine, metadata: Sequence[str] = ("n_chars",), key: str = "doc_id", text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
-    """key, then the `keep` columns as they are, then score, for every row of docs."""
-    model = docs.sparkSession.sparkContext.broadcast(machine)  # BUCKETS * (rank + 1) floats, whatever the input
-    rows = docs.select(F.col(f"`{key}`").alias("key"), *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").cast("binary").alias("raw"), *[F.col(f"`{c}`").cast("double").alias(f"m{i}") for i, c in enumerate(metadata)])
-    at_raw = 1 + len(keep)
+def scorer(spark: SparkSession, machine: Machine):
+    """A function of (text bytes, metadata...) columns to scores: only those leave the JVM, the row's others stay."""
+    model = spark.sparkContext.broadcast(machine)  # BUCKETS * (rank + 1) floats, whatever the input
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                found = model.value.score(*features([r or b"" for r in part.column(at_raw).to_pylist()], _meta(part, at_raw + 1)))
-                yield pa.RecordBatch.from_arrays([*part.columns[:at_raw], pa.array(found, pa.float64())], names=[*part.schema.names[:at_raw], "score"])
+    @F.pandas_udf("double")
+    def run(raw: pd.Series, *meta: pd.Series) -> pd.Series:
+        numbers = np.stack([m.to_numpy(dtype=float, na_value=np.nan) for m in meta], axis=1) if meta else np.zeros((len(raw), 0))
+        out = [np.zeros(0)]
+        for at in range(0, len(raw), 256):
+            part = [bytes(r) if r is not None else b"" for r in raw.iloc[at : at + 256]]
+            out.append(model.value.score(*features(part, numbers[at : at + 256])))
+        return pd.Series(np.concatenate(out))
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:at_raw])
-    scored = rows.mapInArrow(run, f"{fields}, score double")
-    return scored.select(F.col("key").alias(key), *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "score")
+    return run
+
+
+def score_column(docs: DataFrame, machine: Machine, metadata: Sequence[str] = ("n_chars",), text: str = "text") -> Column:
+    """The score of each row of docs, as a column."""
+    bound_batches(docs.sparkSession)
+    run = scorer(docs.sparkSession, machine)
+    return run(F.col(f"`{text}`").cast("binary"), *[F.col(f"`{c}`").cast("double") for c in metadata])
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, key: str = "doc_id", **options) -> DataFrame:
     """key, held_out, score, predicted (1 from `threshold` up) for every row of docs."""
     machine = train(docs, labels, key=key, **options)
     shown = {k: options[k] for k in ("metadata", "text") if k in options}
-    return score(docs, machine, key=key, **shown).select(key, is_held_out(key).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = docs.select(F.col(f"`{key}`").alias("key"), score_column(docs, machine, **shown).alias("score"))
+    held = is_held_out("key").alias("held_out")
+    return scored.select(F.col("key").alias(key), held, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, key: str = "doc_id", text: str = "text", metadata: Sequence[str] = ("n_chars",)) -> DataFrame:
     """The whole rows of docs that score at least the threshold, with all their columns."""
     machine = train(docs, labels, metadata, key=key, text=text)
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[F.col(f"`{c}`") for c in {key, text, *metadata}])
-    return score(row, machine, metadata, key, text, keep=["row"]).filter(F.col("score") >= threshold).select("row.*")
+    return docs.filter(score_column(docs, machine, metadata, text) >= threshold)
