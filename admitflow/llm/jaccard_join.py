@@ -13,11 +13,15 @@ that any other set holds has no partner. Those are counted first, range by range
 chunk's distinct n-grams to their ranges once, ranges tell which of them other chunks hold, and chunks sum that
 per set. (Ranges compare 32 bits after their own: a false match only lets a set through.)
 
-Sets that meet are clustered. Within a cluster, overlaps are counted fragment by fragment of the order, each
-separately, and summed per pair in a dense array, from which the links are read. Small clusters are one unit
-of work; large ones are dealt out by size, as linked sets' sizes are near, and sizes in blocks; each pair of blocks is
-a unit, so a unit's memory is bounded whatever the cluster's size. Units return each set's number of links and a spanning forest, never the
-pairs. Identical sets are one class throughout, so copies cost nothing.
+Sets that meet are clustered. Small clusters are one unit of work; large ones are dealt out by size, as linked
+sets' sizes are near, and sizes in blocks; each pair of blocks is a unit. Every unit's sets are cut at the fixed
+places of the n-gram order into FRAGMENTS vertical pieces, and each (unit, fragment) goes to a task of its own, which
+counts the partial overlaps of its piece in a dense array. A unit's arrays are then summed per pair, and the links are
+read from the sum, so memory is bounded whatever the cluster's size. Units return each set's number of links and a
+spanning forest, never the pairs. Identical sets are one class throughout, so copies cost nothing.
+
+Sizes that can be linked lie in the same or in neighbouring levels and bands for every percent from 1 to 100, as both
+are at least 100 / percent wide.
 
 Defined cases: a text of fewer than n words is one n-gram; a null text or one without words has the empty
 set, which links with nothing; repeated rows and ids are in one class or linked by their sets like others;
@@ -39,24 +43,27 @@ from pyspark.sql.window import Window
 
 from admitflow.llm.text_hash import many_word_hashes, mix, shingles
 from admitflow.plans.components import connected_components
-from admitflow.plans.shared import materialise, skew_lookup
+from admitflow.plans.shared import bound_batches, free_name, materialise, skew_lookup
 
 _U = np.uint64
 #: Candidate keys that a task reduces at once.
 CHUNK_KEYS = 1 << 20
 #: Most sets and n-grams in one block of a large cluster.
-BLOCK_SETS, BLOCK_GRAMS = 1024, 1 << 20
-#: Bits of the filter that spares sets without a candidate the shuffle; it lets more through when full.
-FILTER_BITS = 1 << 26
+BLOCK_SETS, BLOCK_GRAMS = 512, 1 << 20
+#: Vertical pieces of the n-gram order in which a unit's overlaps are counted, each by a task of its own.
+FRAGMENTS = 4
+#: Least and most bits of the filter that spares sets without a candidate the shuffle (16 a set between; at most 32 MB).
+LEAST_FILTER, MOST_FILTER = 1 << 20, 1 << 28
 #: N-grams that a range of the order holds, about; most sets of a chunk, whose places in it take 16 bits.
-RANGE_GRAMS, CHUNK_SETS = 1 << 23, 60_000
+RANGE_GRAMS, CHUNK_SETS = 1 << 21, 60_000
 
 
 def levels(percent: int, top: int) -> list[tuple[int, int, int]]:
     """(least size, largest difference k, fragments) of each level up to sizes of `top`."""
     out, low = [], 1
+    ratio = max(1.5, 100 / percent)  # linked sizes are never two levels apart
     while low <= top:
-        high = math.ceil(low * 1.5) + 1
+        high = math.ceil(low * ratio) + 1
         k = 2 * (high - 1) * (100 - percent) // (100 + percent)
         out.append((low, k, k + 1 + math.ceil(0.5 * k)))
         low = high
@@ -110,8 +117,9 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.Record
 
 def _passes(bits, fp: bytes) -> bool:
     """Whether the broadcast filter has the set; it may have others too."""
-    at = _node(fp) % FILTER_BITS
-    return bool(bits.value[at >> 6] >> (at & 63) & 1)
+    words = bits.value
+    at = _node(fp) % (len(words) << 6)
+    return bool(words[at >> 6] >> (at & 63) & 1)
 
 
 def _node(print_: bytes) -> int:
@@ -193,53 +201,70 @@ def _deal(n: int, percent: int, bits: int):
     return run
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
-    """The rows of each value of column 0 of a stream sorted by it."""
-    held: list[dict] = []
+def _groups(batches: Iterator[pa.RecordBatch], keys: int = 1) -> Iterator[pa.Table]:
+    """The rows of each value of the first columns of a stream sorted by them."""
+    held: list[pa.RecordBatch] = []
+    last = None
     for batch in batches:
-        name = batch.schema.names[0]
-        for row in batch.to_pylist():
-            if held and held[0][name] != row[name]:
-                yield held
+        own = list(zip(*(batch.column(i).to_pylist() for i in range(keys)), strict=True))
+        cuts = [i for i in range(1, len(own)) if own[i] != own[i - 1]]
+        for low, high in zip([0, *cuts], [*cuts, len(own)], strict=True):
+            if low == high:
+                continue
+            if held and own[low] != last:
+                yield pa.Table.from_batches(held)
                 held = []
-            held.append(row)
+            held.append(batch.slice(low, high - low))
+            last = own[low]
     if held:
-        yield held
+        yield pa.Table.from_batches(held)
+
+
+def _arrays(column: pa.ChunkedArray, kind: str) -> list[np.ndarray | None]:
+    """Each binary value as numbers, without a copy; null: None."""
+    return [None if (raw := value.as_buffer()) is None else np.frombuffer(raw, dtype=kind) for value in column]
 
 
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per range: (chunk, places of the sets of n-grams that another chunk holds too, nodes, need)."""
     for rows in _groups(batches):
-        values = [np.frombuffer(r["grams"], dtype="<u4") for r in rows]
-        owners = [np.frombuffer(r["owners"], dtype="<u2") for r in rows]
+        values, owners = _arrays(rows.column("grams"), "<u4"), _arrays(rows.column("owners"), "<u2")
         every = np.concatenate([*values, *(v[o == CHUNK_SETS] for v, o in zip(values, owners, strict=True))])
         every.sort()
         often = every[1:][every[1:] == every[:-1]]
+        del every
         found = []
         for v, o in zip(values, owners, strict=True):
             v, o = v[o < CHUNK_SETS], o[o < CHUNK_SETS]
             at = np.searchsorted(often, v)
-            found.append(o[at < len(often)][often[at[at < len(often)]] == v[at < len(often)]].tobytes())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([r["chunk"] for r in rows], pa.int64()), pa.array(found, pa.binary()), *[pa.array([r[c] for r in rows], pa.binary()) for c in ("nodes", "need")]], names=["chunk", "owners", "nodes", "need"]
-        )
+            inside = at < len(often)
+            found.append(o[inside][often[at[inside]] == v[inside]].tobytes())
+        table = rows.select(["chunk", "nodes", "need"]).append_column("owners", pa.array(found, pa.binary()))
+        yield from table.select(["chunk", "owners", "nodes", "need"]).to_batches()
 
 
 def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per chunk: its sets that share enough n-grams to have a partner."""
     for rows in _groups(batches):
-        told = next(r for r in rows if r["nodes"] is not None)
-        nodes, need = np.frombuffer(told["nodes"], dtype="<i8"), np.frombuffer(told["need"], dtype="<i8")
-        shared = np.bincount(np.frombuffer(b"".join(r["owners"] for r in rows), dtype="<u2"), minlength=len(nodes))
+        nodes = next(x for x in _arrays(rows.column("nodes"), "<i8") if x is not None)
+        need = next(x for x in _arrays(rows.column("need"), "<i8") if x is not None)
+        shared = np.zeros(len(nodes), dtype=np.int64)
+        for owners in _arrays(rows.column("owners"), "<u2"):
+            shared += np.bincount(owners, minlength=len(nodes))
         yield pa.RecordBatch.from_arrays([pa.array(nodes[shared >= need])], names=["node"])
 
 
 def live_sets(raw: DataFrame, n: int, percent: int, total: int) -> DataFrame:
-    """Nodes of the sets, `total` n-grams in all, of whose n-grams others hold enough for a link."""
+    """Nodes of the sets, `total` n-grams in all, of whose n-grams others hold enough for a link.
+
+    Ranges and chunks have partitions of their own, about, so a task holds one range or chunk at a time.
+    """
     bits = max(1, math.ceil(math.log2(max(total, 1) / RANGE_GRAMS)))
-    dealt = raw.mapInArrow(_deal(n, percent, bits), "part long, chunk long, grams binary, owners binary, nodes binary, need binary")
-    met = dealt.repartition("part").sortWithinPartitions("part").mapInArrow(_match, "chunk long, owners binary, nodes binary, need binary")
-    return met.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_live, "node long").distinct()
+    ranges, chunks = 1 << bits, max(1, math.ceil(total / CHUNK_KEYS))
+    told = "owners binary, nodes binary, need binary"
+    dealt = raw.mapInArrow(_deal(n, percent, bits), f"part long, chunk long, grams binary, {told}")
+    met = dealt.repartition(ranges, "part").sortWithinPartitions("part").mapInArrow(_match, f"chunk long, {told}")
+    return met.repartition(chunks, "chunk").sortWithinPartitions("chunk").mapInArrow(_live, "node long").distinct()
 
 
 def _candidates(n: int, percent: int, bits):
@@ -280,7 +305,10 @@ def _candidates(n: int, percent: int, bits):
 
 
 def _members(n: int, bits):
-    """Scan 4: (node, fp, grams) of the distinct sets that the filter lets through."""
+    """Scan 4: (node, fp, n, cuts, grams) of the distinct sets that the filter lets through; cuts are the places in
+    grams where the fragments of the order begin, and its length."""
+    edges = np.array([i * ((1 << 64) // FRAGMENTS) for i in range(FRAGMENTS)], dtype=np.uint64)
+    names = ["node", "fp", "n", "cuts", "grams"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -288,13 +316,16 @@ def _members(n: int, bits):
         size = 0
 
         def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([_node(r[0]) for r in rows], pa.int64()), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["node", "fp", "grams"])
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int32()), pa.binary())
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+            return pa.RecordBatch.from_arrays(columns, names=names)
 
         for _, _, grams, fp in _sets(batches, n):
             if fp is None or fp in seen or not _passes(bits, fp):
                 continue
             seen.add(fp)
-            rows.append((fp, grams.tobytes()))
+            cuts = [*np.searchsorted(grams, edges).tolist(), len(grams)]
+            rows.append((_node(fp), fp, len(grams), cuts, grams.tobytes()))
             size += grams.nbytes
             if size > 1 << 23:
                 yield flush()
@@ -305,8 +336,8 @@ def _members(n: int, bits):
     return run
 
 
-def overlaps(sets: list[np.ndarray], fragment: int = 1 << 18) -> np.ndarray:
-    """Common n-grams of every two sets: counted per fragment of the n-gram order, and summed."""
+def overlaps(sets: list[np.ndarray], step: int = 1 << 18) -> np.ndarray:
+    """Common n-grams of every two of a fragment's sets, from about `step` postings at a time."""
     m = len(sets)
     total = np.zeros((m, m), dtype=np.int32)
     gram = np.concatenate(sets)
@@ -317,7 +348,7 @@ def overlaps(sets: list[np.ndarray], fragment: int = 1 << 18) -> np.ndarray:
     df = np.diff(start, append=len(gram))
     start, df = start[df > 1], df[df > 1]
     dense = max(8, m // 8)
-    cuts = np.searchsorted(np.cumsum(df), np.arange(fragment, int(df.sum()) + fragment, fragment))
+    cuts = np.searchsorted(np.cumsum(df), np.arange(step, int(df.sum()) + step, step))
     low = 0
     for high in sorted({*cuts.tolist(), len(df)}):
         s, d = start[low:high], df[low:high]
@@ -367,107 +398,159 @@ def _forest(linked: np.ndarray) -> np.ndarray:
     return root
 
 
-def _units(percent: int):
-    """Links of each unit of a stream sorted by unit; a pair of different blocks counts links between them only."""
-
-    def solve(rows: list) -> list:
-        by_print = {r[1]: r for r in rows}
-        prints = sorted(by_print)
-        sets = [np.frombuffer(by_print[p][2], dtype=np.uint64) for p in prints]
-        n = np.array([len(s) for s in sets])
-        both = overlaps(sets)
-        linked = both >= -(-percent * (n[:, None] + n[None, :]) // (100 + percent))
-        np.fill_diagonal(linked, False)
-        if by_print[prints[0]][4]:
-            block = np.array([by_print[p][3] for p in prints])
-            linked &= block[:, None] != block[None, :]
-        root = _forest(linked)
-        return [(p, prints[root[i]], int(linked[i].sum())) for i, p in enumerate(prints) if linked[i].any()]
+def _wanted(unit: str, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs whose overlaps a unit (cluster:block:block) needs: all of one block, or all between two."""
+    _, first, second = unit.split(":")
+    if first == second:
+        return np.triu_indices(len(blocks), 1)
+    low = blocks == int(first)
+    i, j = np.meshgrid(np.flatnonzero(low), np.flatnonzero(~low), indexing="ij")
+    return i.ravel(), j.ravel()
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per (unit, fragment): its sets in the order of their fingerprints, and the partial overlaps of its pairs."""
+    for rows in _groups(batches, keys=2):
+        prints = rows.column("fp").to_pylist()
+        order = sorted(range(len(prints)), key=prints.__getitem__)
+        order = [i for at, i in enumerate(order) if at == 0 or prints[i] != prints[order[at - 1]]]
+        grams = _arrays(rows.column("grams"), "<u8")
+        blocks = rows.column("block").to_numpy()[order]
+        unit = rows.column("unit")[0].as_py()
+        found = overlaps([grams[i] for i in order])[_wanted(unit, blocks)]
+        kind = "<u2" if found.max(initial=0) < 1 << 16 else "<u4"
+        told = [
+            unit, b"".join(prints[i] for i in order),
+            rows.column("n").to_numpy()[order].astype("<i8").tobytes(), blocks.astype("<i8").tobytes(), found.astype(kind).tobytes(),
+        ]
+        kinds = [pa.string(), *[pa.binary()] * 4]
+        columns = [pa.array([x], k) for x, k in zip(told, kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays(columns, names=["unit", "prints", "sizes", "blocks", "counts"])
+
+
+def _links(percent: int):
+    """Per unit: its fragments' partial overlaps summed per pair, and what is linked by the sum."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, unit, out = [], None, []
-
-        def send(rows: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.int64())], names=["fp", "root", "links"])
-
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[0] != unit and held:
-                    out += solve(held)
-                    held = []
-                unit = row[0]
-                held.append(row)
-            if len(out) > 10_000:
-                yield send(out)
-                out = []
-        if held:
-            out += solve(held)
-        if out:
-            yield send(out)
+        for rows in _groups(batches):
+            prints = rows.column("prints")[0].as_py()
+            prints = [prints[i : i + 16] for i in range(0, len(prints), 16)]
+            n, blocks = (np.frombuffer(rows.column(c)[0].as_buffer(), "<i8") for c in ("sizes", "blocks"))
+            i, j = _wanted(rows.column("unit")[0].as_py(), blocks)
+            both = np.zeros(len(i), dtype=np.int64)
+            for value in rows.column("counts"):
+                if len(i):
+                    raw = value.as_buffer()
+                    both += np.frombuffer(raw, dtype=f"<u{raw.size // len(i)}")
+            hit = both * (100 + percent) >= percent * (n[i] + n[j])
+            linked = np.zeros((len(n), len(n)), dtype=bool)
+            linked[i[hit], j[hit]] = linked[j[hit], i[hit]] = True
+            some = np.flatnonzero(linked.any(axis=1))
+            if len(some):
+                root = _forest(linked)
+                columns = [
+                    pa.array([prints[x] for x in some], pa.binary()), pa.array([prints[root[x]] for x in some], pa.binary()),
+                    pa.array(linked.sum(axis=1)[some], pa.int64()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["fp", "root", "links"])
 
     return run
 
 
 def _filter_bits(spark: SparkSession, nodes: DataFrame):
-    """A bitmap of node ids, FILTER_BITS large whatever their number: 64-bit words are or-ed on the executors."""
-    at = f"pmod(node, {FILTER_BITS})"
-    words = nodes.selectExpr(f"{at} div 64 as word", f"shiftleft(1L, cast({at} % 64 as int)) as bit").groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    bits = np.zeros(FILTER_BITS // 64, dtype=np.int64)
-    found = words.toArrow()
+    """A bitmap of node ids, at most MOST_FILTER bits whatever their number: words are or-ed on the executors."""
+    size = min(MOST_FILTER, max(LEAST_FILTER, 1 << (16 * nodes.count()).bit_length()))
+    at = f"pmod(node, {size})"
+    words = nodes.selectExpr(f"{at} div 64 as word", f"shiftleft(1L, cast({at} % 64 as int)) as bit")
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits = np.zeros(size // 64, dtype=np.int64)
     bits[found.column(0).to_numpy()] = found.column(1).to_numpy()
     return spark.sparkContext.broadcast(bits)
 
 
+def _classes(sized: DataFrame) -> DataFrame:
+    """One row per distinct set: fp, class_id, rows, n_shingles, node."""
+    least = [F.min("key").alias("class_id"), F.count(F.lit(1)).alias("rows"), F.max("n_shingles").alias("n_shingles"), F.max("node").alias("node")]
+    return sized.filter("fp is not null").groupBy("fp").agg(*least)
+
+
+def _clusters(raw: DataFrame, n: int, percent: int, live: DataFrame) -> DataFrame:
+    """(node, root) of the sets that meet. A key has at most one row per chunk of the scan, whatever its sets' number."""
+    bits = _filter_bits(raw.sparkSession, live)
+    met = raw.mapInArrow(_candidates(n, percent, bits), "key long, node long, hub long")
+    hub = F.coalesce("hub", F.min("node").over(Window.partitionBy("key")))
+    return connected_components(met.select("node", hub.alias("hub")), "node", "hub")
+
+
+def _units(raw: DataFrame, n: int, percent: int, classes: DataFrame, clusters: DataFrame) -> tuple[DataFrame, int]:
+    """(unit, fragment, fp, n, block, grams) of all that has to be counted, and how many partitions it fills."""
+    # a little wider than the least ratio of linked sizes, so linked sets are in the same or neighbouring bands
+    band = F.floor(F.log(F.col("n_shingles").cast("double")) / math.log(100 / percent * 1.001)).cast("int")
+    own = classes.join(clusters, "node").groupBy(F.col("root").alias("cluster"), band.alias("band"))
+    own = own.agg(F.count(F.lit(1)).alias("sets"), F.sum("n_shingles").alias("grams"))
+    blocks = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")
+    bands = F.map_from_entries(F.collect_list(F.struct("band", blocks.alias("blocks"))))  # at most a few thousand sizes
+    sizes = own.groupBy("cluster").agg(F.sum("sets").alias("sets"), F.sum("grams").alias("grams"), F.sum(blocks).alias("blocks"), bands.alias("bands"))
+    small = (F.col("sets") <= BLOCK_SETS) & (F.col("grams") <= BLOCK_GRAMS)
+    sizes = sizes.filter("sets > 1").select("cluster", "sets", F.when(small, 1).otherwise(F.col("blocks")).alias("times"), "grams", F.when(~small, F.col("bands")).alias("bands"))
+    sizes = materialise(sizes, "cluster-sizes")
+    volume = sizes.agg(F.sum(F.col("grams") * F.col("times"))).first()[0] or 0
+
+    members = raw.mapInArrow(_members(n, _filter_bits(raw.sparkSession, clusters)), "node long, fp binary, n long, cuts array<int>, grams binary")
+    members = members.join(clusters, "node").select(F.col("root").alias("cluster"), "fp", "n", "cuts", "grams", F.col("n").alias("n_shingles"))
+    known = sizes.select("cluster", "sets", "bands", F.lit(True).alias("known"))
+    met = skew_lookup(members.withColumn("band", band), known, "cluster", "sets", "fp").filter("known")
+    label = F.when(F.col("bands").isNull(), F.lit(0).cast("long")).otherwise(
+        F.col("band") * (1 << 32) + F.pmod(F.xxhash64("fp"), F.col("bands")[F.col("band")])
+    )
+    of_band = f"transform(sequence(0, bands[x] - 1), y -> x * {1 << 32}L + y)"
+    near = f"flatten(transform(array(band - 1, band, band + 1), x -> if(map_contains_key(bands, x), {of_band}, cast(array() as array<bigint>))))"
+    dealt = met.withColumn("block", label).withColumn("other", F.explode(F.when(F.col("bands").isNull(), F.array("block")).otherwise(F.expr(near))))
+    unit = F.concat_ws(":", "cluster", F.least("block", "other"), F.greatest("block", "other"))
+    dealt = dealt.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))))
+    piece = F.expr("substring(grams, cuts[fragment] * 8 + 1, (cuts[fragment + 1] - cuts[fragment]) * 8)")
+    dealt = dealt.select(unit.alias("unit"), "fragment", "fp", "n", "block", piece.alias("grams"))
+    return dealt, max(FRAGMENTS, math.ceil(volume / BLOCK_GRAMS))
+
+
 def jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: key, n_shingles, component_id (smallest key reachable by links, its own included),
     n_links (other distinct sets linked to its set), class_id (the smallest key with the same set),
     text_hash, and fp and root: the fingerprints of its set and component."""
-    spark = docs.sparkSession
-    raw = F.col(f"`{text}`").cast("binary").alias("raw")
+    if not 1 <= percent <= 100:
+        raise ValueError(f"not a similarity in percent, from 1 to 100: {percent}")
+    bound_batches(docs.sparkSession)
+    raw = docs.select(F.col(f"`{text}`").cast("binary").alias("raw"))
     kind = docs.select(F.col(f"`{key}`").alias("key")).schema["key"].dataType.simpleString()
-    own = docs.select(raw, F.col(f"`{key}`").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("text_hash"))
-    sized = materialise(own.mapInArrow(_sizes(n), f"key {kind}, text_hash long, n_shingles long, node long, fp binary"), "sets")
-    classes = sized.filter("fp is not null").groupBy("fp").agg(F.min("key").alias("class_id"), F.count(F.lit(1)).alias("rows"), F.max("n_shingles").alias("n_shingles"), F.max("node").alias("node"))
+    own = docs.select(F.col(f"`{text}`").cast("binary").alias("raw"), F.col(f"`{key}`").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("text_hash"))
+    sized = own.mapInArrow(_sizes(n), f"key {kind}, text_hash long, n_shingles long, node long, fp binary")
+    sized = materialise(sized, "sets")
+    classes = _classes(sized)
 
     total = classes.agg(F.sum("n_shingles")).first()[0] or 0
-    live = materialise(live_sets(docs.select(raw), n, percent, total), "live")
-    met = docs.select(raw).mapInArrow(_candidates(n, percent, _filter_bits(spark, live)), "key long, node long, hub long")
-    hub = F.coalesce("hub", F.min("node").over(Window.partitionBy("key")))
-    clusters = connected_components(met.select("node", hub.alias("hub")), "node", "hub")
-    clusters = materialise(clusters, "clusters")
-
-    bits = _filter_bits(spark, clusters)
-    members = docs.select(raw).mapInArrow(_members(n, bits), "node long, fp binary, grams binary")
-    # Linked sizes differ by one class at most: classes are a little wider than the least ratio of linked sizes.
-    band = F.floor(F.log(F.col("n_shingles").cast("double")) / math.log(100 / (percent - 1))).cast("int")
-    per_band = classes.join(clusters, "node").groupBy(F.col("root").alias("cluster"), band.alias("band")).agg(F.count(F.lit(1)).alias("sets"), F.sum("n_shingles").alias("grams"))
-    blocks = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")
-    sizes = per_band.groupBy("cluster").agg(F.sum("sets").alias("sets"), F.sum("grams").alias("grams"), F.map_from_entries(F.collect_list(F.struct("band", blocks.alias("blocks")))).alias("bands"))
-    small = (F.col("sets") <= BLOCK_SETS) & (F.col("grams") <= BLOCK_GRAMS)
-    sizes = materialise(sizes.filter("sets > 1").select("cluster", "sets", F.when(~small, F.col("bands")).alias("bands")), "cluster-sizes")
-    members = members.join(clusters, "node").select(F.col("root").alias("cluster"), "fp", "grams")
-    members = members.withColumn("n_shingles", F.length("grams") / 8).withColumn("band", band)
-    met = skew_lookup(members, sizes.withColumn("known", F.lit(True)), "cluster", "sets", "fp").filter("known")
-    label = F.when(F.col("bands").isNull(), F.lit(0).cast("long")).otherwise(F.col("band") * (1 << 32) + F.pmod(F.xxhash64("fp"), F.col("bands")[F.col("band")]))
-    near = F.expr(f"flatten(transform(array(band - 1, band, band + 1), x -> if(map_contains_key(bands, x), transform(sequence(0, bands[x] - 1), y -> x * {1 << 32}L + y), cast(array() as array<bigint>))))")
-    dealt = met.withColumn("block", label).withColumn("other", F.explode(F.when(F.col("bands").isNull(), F.array(F.lit(0).cast("long"))).otherwise(near)))
-    unit = F.concat_ws(":", "cluster", F.least("block", "other"), F.greatest("block", "other"))
-    dealt = dealt.select(unit.alias("unit"), "fp", "grams", "block", (F.col("block") != F.col("other")).alias("cross"))
-    # a pair of different blocks gets rows of both, all of them marked as crossing
-    dealt = dealt.repartition("unit").sortWithinPartitions("unit")
-    found = materialise(dealt.mapInArrow(_units(percent), "fp binary, root binary, links long"), "links")
+    live = materialise(live_sets(raw, n, percent, total), "live")
+    clusters = materialise(_clusters(raw, n, percent, live), "clusters")
+    dealt, parts = _units(raw, n, percent, classes, clusters)
+    dealt = dealt.repartition(parts, "unit", "fragment").sortWithinPartitions("unit", "fragment")
+    counted = dealt.mapInArrow(_count, "unit string, prints binary, sizes binary, blocks binary, counts binary")
+    summed = counted.repartition(parts, "unit").sortWithinPartitions("unit")
+    found = materialise(summed.mapInArrow(_links(percent), "fp binary, root binary, links long"), "links")
 
     roots = connected_components(found, "fp", "root").withColumnRenamed("node", "fp")
     links = found.groupBy("fp").agg(F.sum("links").alias("n_links"))
     linked = classes.select("fp", "class_id").join(roots, "fp").join(links, "fp")
     least = linked.groupBy("root").agg(F.min("class_id").alias("component_id"))
     linked = linked.join(least, "root").select("fp", "root", "component_id", "n_links")
-    table = classes.join(linked, "fp", "left").select("fp", "class_id", "rows", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "class_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    table = classes.join(linked, "fp", "left").select(
+        "fp", "class_id", "rows", F.coalesce("root", "fp").alias("root"),
+        F.coalesce("component_id", "class_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+    )
     looked = skew_lookup(sized, materialise(table, "classes"), "fp", "rows", "key")
     empty = F.col("fp").isNull()
     return looked.select(
         F.col("key").alias(key), "n_shingles", F.when(empty, F.col("key")).otherwise(F.col("component_id")).alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(empty, F.col("key")).otherwise(F.col("class_id")).alias("class_id"), "text_hash", "fp", "root",
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(empty, F.col("key")).otherwise(F.col("class_id")).alias("class_id"),
+        "text_hash", "fp", "root",
     )
 
 
@@ -476,13 +559,17 @@ def keep_one(docs: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_id"
 
     Rows with an empty set all stay. The decisions are joined back on key and text hash.
     """
-    joined = jaccard_join(docs, n, percent, key, text).select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_key"), F.col("text_hash").alias("_hash"), "fp", "root", F.coalesce(F.col("component_id").cast("string"), F.lit("")).alias("_component"))
-    wins = joined.filter(F.col("fp").isNull() | (F.col("_key") == F.col("_component")))
+    as_text = lambda name: F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
+    joined = jaccard_join(docs, n, percent, key, text)
+    joined = joined.select(as_text(key).alias("key"), F.col("text_hash").alias("hash"), "fp", "root", as_text("component_id").alias("component"))
+    wins = joined.filter("fp is null or key = component")
     # rows of one key in one component: one stays; rows without words stay each
-    one = F.row_number().over(Window.partitionBy("_key", "root").orderBy("fp", "_hash"))
-    wins = wins.withColumn("_one", one).filter("fp is null or _one = 1").groupBy("_key", "_hash").agg(F.max(F.col("fp").isNull()).alias("_all"))
+    one = F.row_number().over(Window.partitionBy("key", "root").orderBy("fp", "hash"))
+    wins = wins.withColumn("one", one).filter("fp is null or one = 1")
+    key_, hash_, all_, nth_ = (free_name(name, docs.columns) for name in ("_key", "_hash", "_all", "_nth"))
+    wins = wins.groupBy(F.col("key").alias(key_), F.col("hash").alias(hash_)).agg(F.max(F.col("fp").isNull()).alias(all_))
     names = [F.col(f"`{c}`") for c in docs.columns]
-    marked = docs.select(*names, F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")).alias("_key"), F.xxhash64(F.col(f"`{text}`")).alias("_hash"))
-    kept = marked.join(wins, ["_key", "_hash"])
-    nth = F.row_number().over(Window.partitionBy("_key", "_hash").orderBy("_hash"))
-    return kept.withColumn("_nth", nth).filter("_all or _nth = 1").select(*names)
+    marked = docs.select(*names, as_text(key).alias(key_), F.xxhash64(F.col(f"`{text}`")).alias(hash_))
+    kept = marked.join(wins, [key_, hash_])
+    nth = F.row_number().over(Window.partitionBy(key_, hash_).orderBy(hash_))
+    return kept.withColumn(nth_, nth).filter(F.col(all_) | (F.col(nth_) == 1)).select(*names)
