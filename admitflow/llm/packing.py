@@ -8,7 +8,7 @@ A group's sequences are all full but for a tail, whose tokens fill sequences of
 no padding.
 
 Defined cases: a null text is empty, an empty document is its end token alone; a document of any length is
-cut; repeated rows are packed each; an empty table gives an empty result. Ids are unique (partition, then
+cut; repeated rows are packed each; a key named like a result column gets an underscore; an empty table gives an empty result. Ids are unique (partition, then
 count), and a retried task makes the same sequences of the same rows.
 """
 
@@ -26,6 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from admitflow.plans.shared import bound_batches, free_name
+
 #: Pieces whose ids are remembered by a worker; beyond, it forgets all and goes on.
 MEMO_WORDS = 500_000
 
@@ -99,6 +101,66 @@ def word_ids(path: str) -> WordIds:
     return _kept[path]
 
 
+class _Rooms:
+    """Open sequences by the room they have left: the cheapest with at least so much room, and the roomiest.
+
+    A heap per room holds (cost, sequence); a tree over the rooms holds the least entry of each range of rooms, so
+    the cheapest is found in a logarithm of the capacity, however many sequences there are. A sequence's room only
+    shrinks, so an entry is stale once its sequence has another room.
+    """
+
+    NONE = (float("inf"), -1)
+
+    def __init__(self, rooms: list[int], capacity: int):
+        self.left, self.top = list(rooms), capacity
+        self.size = 1 << capacity.bit_length()
+        self.heaps: list[list[tuple[float, int]]] = [[] for _ in range(capacity + 1)]
+        for s, room in enumerate(rooms):
+            self.heaps[room].append((0.0, s))  # equal costs in ascending order are a heap
+        self.tree = [self.NONE] * (2 * self.size)
+        for room, heap in enumerate(self.heaps):
+            self.tree[self.size + room] = heap[0] if heap else self.NONE
+        for i in range(self.size - 1, 0, -1):
+            self.tree[i] = min(self.tree[2 * i], self.tree[2 * i + 1])
+
+    def _refresh(self, room: int) -> None:
+        heap, i = self.heaps[room], self.size + room
+        while heap and self.left[heap[0][1]] != room:
+            heapq.heappop(heap)
+        self.tree[i] = heap[0] if heap else self.NONE
+        while i > 1:
+            i >>= 1
+            self.tree[i] = min(self.tree[2 * i], self.tree[2 * i + 1])
+
+    def cheapest(self, room: int) -> int | None:
+        """The sequence of least cost (then number) with at least that much room."""
+        best, low, high = self.NONE, self.size + room, 2 * self.size
+        while low < high:
+            if low & 1:
+                best = min(best, self.tree[low])
+                low += 1
+            if high & 1:
+                high -= 1
+                best = min(best, self.tree[high])
+            low >>= 1
+            high >>= 1
+        return best[1] if best[1] >= 0 else None
+
+    def roomiest(self) -> int:
+        """The cheapest of the sequences with the most room."""
+        while not self.heaps[self.top]:
+            self.top -= 1
+        return self.heaps[self.top][0][1]
+
+    def fill(self, s: int, tokens: int, cost: float) -> None:
+        before = self.left[s]
+        self.left[s] = before - tokens
+        self._refresh(before)
+        if self.left[s]:
+            heapq.heappush(self.heaps[self.left[s]], (cost, s))
+            self._refresh(self.left[s])
+
+
 def pack_group(lengths: list[int], capacity: int, linear: float, quadratic: float) -> list[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) for documents of these token counts; sequences count from 0."""
     out, pieces, total = [], [], 0
@@ -115,38 +177,17 @@ def pack_group(lengths: list[int], capacity: int, linear: float, quadratic: floa
     tail = total % capacity
     rooms += [1 << b for b in range(tail.bit_length() - 1, -1, -1) if tail >> b & 1]
     used, cost = [0] * len(rooms), [0.0] * len(rooms)
-    heap = [(0.0, s) for s in range(len(rooms))]
-    # Sequences by room left, for pieces that fit nowhere whole.
-    roomy = [(-r, s) for s, r in enumerate(rooms)]
-    heapq.heapify(roomy)
-
-    def put(s: int, n: int, doc: int, start: int) -> None:
-        out.append((doc, start, n, full + s, used[s]))
-        used[s] += n
-        cost[s] += linear * n + quadratic * n * n
-        if used[s] < rooms[s]:
-            heapq.heappush(heap, (cost[s], s))
-            heapq.heappush(roomy, (used[s] - rooms[s], s))
-
+    open_ = _Rooms(rooms, capacity)
     for n, doc, start in pieces:
         while n:
-            aside, found = [], None
-            while heap and len(aside) < 64:
-                c, s = heapq.heappop(heap)
-                if c != cost[s] or used[s] == rooms[s]:
-                    continue  # an entry from before the sequence's last piece
-                if rooms[s] - used[s] >= n:
-                    found = s
-                    break
-                aside.append((c, s))
-            for entry in aside:
-                heapq.heappush(heap, entry)
+            found = open_.cheapest(n)
             if found is None:
-                while rooms[roomy[0][1]] - used[roomy[0][1]] != -roomy[0][0] or not roomy[0][0]:
-                    heapq.heappop(roomy)
-                found = roomy[0][1]
-            take = min(n, rooms[found] - used[found])
-            put(found, take, doc, start)
+                found = open_.roomiest()  # no sequence takes all of it, so it is cut
+            take = min(n, open_.left[found])
+            out.append((doc, start, take, full + found, used[found]))
+            used[found] += take
+            cost[found] += linear * take + quadratic * take * take
+            open_.fill(found, take, cost[found])
             n, start = n - take, start + take
     return out
 
@@ -193,7 +234,8 @@ def _packer(path: str, end_id: int, capacity: int, linear: float, quadratic: flo
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 4096, linear: float = 1.0, quadratic: float = 1 / 4096, group_tokens: int = 4_000_000, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset; each id lies in exactly one piece."""
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
     run = _packer(tokenizer, end_id, capacity, linear, quadratic, group_tokens)
-    return rows.mapInArrow(run, f"key {kind}, {PIECE}").withColumnRenamed("key", key)
+    return rows.mapInArrow(run, f"key {kind}, {PIECE}").withColumnRenamed("key", free_name(key, [c.split()[0] for c in PIECE.split(", ")]))
