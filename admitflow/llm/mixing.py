@@ -2,34 +2,38 @@
 
 A source's target is its weight's share of the mix, at most `max_repeat` times its size; what a capped
 source can't take is shared again by weight. Every document of a source expects target / size copies:
-the whole part is certain, the fraction is decided by pivoting. Two documents with fractions pass mass
-(fraction times size, so words are conserved) at random until one of them is a whole copy or none; the
-other goes on. Leaves of the tree are hash buckets of a source, each walked from its longest document
-to its shortest; each level above combines `fan_in` buckets' last documents, and the root's last one
-goes to the nearer whole number. A source's words miss its target by at most half that one document.
+the whole part is certain, the fraction is decided by pivoting. A document and the rest of its bucket, taken as one
+partner, pass mass (fraction times size, so words are conserved) at random until one of the two is integral: the
+document is a copy or none, or all of the rest is. What the rest won or lost is spread over its fractions in
+proportion, so means are kept. Leaves of the tree are hash buckets of a source, each walked from its longest document
+to its shortest, as a long one can only be settled while there is much to settle it with; the `change` shortest
+documents and the one left fractional go on, and each level above combines `fan_in` buckets. The root settles all
+but one document of a source, commonly one of the shortest. That one goes to the nearer whole number; `mix` takes it
+in part (`part` words of one more copy) where the whole document would miss the target by more than `tolerance`.
 
 Defined cases: a null text has size 0, and documents of size 0 are taken 0 words (`copies` is their
 certain part); a null source is a source of its own, after all others; repeated rows count each; an
-empty table gives an empty result. Buckets and draws hang on ids, sizes and sources alone, so reruns agree.
+empty table gives an empty result; only key, text and source are read, and a key named like a result column gets an
+underscore. Buckets and draws hang on ids, sizes and sources alone, so reruns agree.
 """
 
 from __future__ import annotations
 
-import hashlib
 import itertools
 import math
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from admitflow.plans.shared import materialise
+from admitflow.plans.shared import bound_batches, free_name, materialise, skew_lookup
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Per-source sums are planned on the driver up to this many sources (tens of MB).
+#: Sources are planned on the driver up to this many (tens of MB), beyond on the executors.
 MAX_SOURCES = 200_000
+RESULT = ("source", "size", "source_size", "target", "copies", "part", "taken")
 
 
 def words_in(text: Column) -> Column:
@@ -54,117 +58,164 @@ def plan_targets(sizes: Sequence[tuple[str | None, int]], weights: Sequence[floa
     return [(source, size, t) for (source, size), t in zip(order, target)]
 
 
-def _draw(seed: int, *ids: object) -> float:
-    digest = hashlib.blake2b(repr((seed, *ids)).encode(), digest_size=7).digest()
-    return int.from_bytes(digest, "big") / (1 << 56)
-
-
-def _pivot(p: float, a: float, q: float, b: float, u: float) -> tuple[float, float]:
-    """Pass mass between fractions p (size a) and q (size b) until one is 0 or 1; p*a + q*b stays, and so do the means."""
-    up, down = min(1 - p, q * b / a), min(p, (1 - q) * b / a)
-    move = up if u * (up + down) < down else -down
-    p2, q2 = p + move, q - move * a / b
-    if move > 0:
-        p2, q2 = (1.0, q2) if 1 - p <= q * b / a else (p2, 0.0)
-    else:
-        p2, q2 = (0.0, q2) if p <= (1 - q) * b / a else (p2, 1.0)
-    return p2, q2
-
-
-_STATE = "row string, size long, fraction double, whole long, source_index int, bucket long, settled boolean"
-
-
-def _walk(seed: int, level: int, last: bool):
-    """Pivot each (source_index, bucket) group of a sorted stream; one row is carried, whatever the group's size."""
-
-    def close(carry: list, settle: bool) -> list:
-        if settle and not carry[6]:
-            carry[3] += int(carry[2] >= 0.5)
-            carry[2], carry[6] = 0.0, True
-        return carry
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        carry, names = None, [c.split()[0] for c in _STATE.split(", ")]
+_PLAN = "source_index long, source string, source_size long, target double, rows long"
+
+
+def _planned(per_source: DataFrame, weights: Sequence[float], share: float, max_repeat: float, most: int) -> tuple[DataFrame, bool]:
+    """(_PLAN table, whether it is small enough to broadcast) of (source, size, rows)."""
+    spark = per_source.sparkSession
+    sums = per_source.limit(most + 1).collect()
+    if len(sums) <= most:
+        rows = {r["source"]: r["rows"] for r in sums}
+        plan = plan_targets([(r["source"], r["size"]) for r in sums], weights, share, max_repeat)
+        return spark.createDataFrame([(i, s, size, t, rows[s]) for i, (s, size, t) in enumerate(plan)], _PLAN), True
+    return _planned_apart(per_source, weights, share, max_repeat), False
+
+
+def _planned_apart(per_source: DataFrame, weights: Sequence[float], share: float, max_repeat: float) -> DataFrame:
+    """The same plan for any number of sources: they are numbered by range partitions, and the driver holds sums only."""
+    spark = per_source.sparkSession
+    order = [F.col("source").isNull(), "source"]
+    ranged = per_source.repartitionByRange(64, *order).sortWithinPartitions(*order)
+    at = F.monotonically_increasing_id()
+    numbered = materialise(ranged.withColumn("range", F.shiftright(at, 33)).withColumn("nth", at.bitwiseAND(F.lit((1 << 33) - 1))), "sources")
+    counts = {r["range"]: r["count"] for r in numbered.groupBy("range").count().collect()}
+    starts = dict(zip(sorted(counts), itertools.accumulate([0, *(counts[k] for k in sorted(counts))])))
+    base = F.element_at(F.create_map(*[F.lit(x).cast("long") for pair in starts.items() for x in pair]), F.col("range"))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("source_index") % len(weights)).cast("int") + 1)
+    plan = numbered.withColumn("source_index", base + F.col("nth")).withColumn("weight", weight).withColumn("cap", F.col("size") * F.lit(float(max_repeat)))
+    size, caps = plan.agg(F.sum("size"), F.sum("cap")).first()
+    left = min(share * size, caps)
+    # Filling by the order of cap / weight, the capped sources are those below a level; the level only rises.
+    level = 0.0
+    while True:
+        free, capped = plan.agg(F.sum(F.when(F.col("cap") > F.col("weight") * level, F.col("weight"))), F.sum(F.when(F.col("cap") <= F.col("weight") * level, F.col("cap")))).first()
+        rises = (left - (capped or 0.0)) / free if free else math.inf
+        if rises <= level * (1 + 1e-12):
+            break
+        level = rises
+        if level == math.inf:
+            break
+    target = F.least("cap", F.col("weight") * F.lit(level)) if level != math.inf else F.col("cap")
+    return materialise(plan.select("source_index", "source", F.col("size").alias("source_size"), target.alias("target"), "rows"), "source-plan")
+
+
+class _Walk:
+    """One bucket from its longest document to its shortest.
+
+    The rest of the bucket is held as its size, its mass and the straight line (gain, base) that its documents'
+    first fractions have gone through by now, so memory doesn't grow with the bucket.
+    """
+
+    def __init__(self, total: float, mass: float, keep: int, rows: int):
+        self.total, self.mass, self.keep, self.rows = total, mass, keep, rows
+        self.gain, self.base = 1.0, 0.0
+
+    def next(self, size: float, fraction: float, luck: float) -> float:
+        """The next document's fraction: 0 or 1, unless it is among the `keep` last or outlives the rest."""
+        q = min(1.0, max(0.0, self.gain * fraction + self.base))
+        self.rows -= 1
+        self.total = max(0.0, self.total - size)
+        self.mass = min(self.total, max(0.0, self.mass - q * size))
+        if self.rows < self.keep or q in (0.0, 1.0):
+            return q
+        up, down = min((1 - q) * size, self.mass), min(q * size, self.total - self.mass)
+        if up + down <= 0:
+            return q
+        if luck * (up + down) < down:  # the document gains `up` words with chance down / (up + down)
+            settled = up >= (1 - q) * size * (1 - 1e-12)
+            shrink = (self.mass - up) / self.mass if settled and self.mass > 0 else 0.0
+            self.gain, self.base, self.mass = self.gain * shrink, self.base * shrink, self.mass * shrink
+            return 1.0 if settled else q + up / size
+        settled = down >= q * size * (1 - 1e-12)
+        room = self.total - self.mass
+        shrink = (room - down) / room if settled and room > 0 else 0.0
+        self.gain, self.base = self.gain * shrink, self.base * shrink + 1 - shrink
+        self.mass = self.total - room * shrink
+        return 0.0 if settled else q - down / size
+
+
+def _walk(keep: int):
+    """Walk each (source_index, bucket) of a sorted stream; rows stay in place, their fraction changes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, walk, nth = None, None, 0
         for batch in batches:
+            names = batch.schema.names
+            told = [batch.column(names.index(c)).to_pylist() for c in ("source_index", "bucket", "size", "fraction", "luck", "all_size", "all_mass", "all_rows")]
             out = []
-            for row in batch[names].itertuples(index=False, name=None):
-                row = list(row)
-                if row[6] or row[1] == 0 or row[2] <= 0:
-                    out.append([*row[:2], 0.0, *row[3:6], True])
-                    continue
-                if carry is None:
-                    carry = row
-                elif carry[4:6] != row[4:6]:
-                    out.append(close(carry, last))
-                    carry = row
-                else:
-                    carry[2], row[2] = _pivot(carry[2], carry[1], row[2], row[1], _draw(seed, level, carry[0], row[0]))
-                    for one in (carry, row):
-                        if one[2] in (0.0, 1.0):
-                            one[3], one[2], one[6] = one[3] + int(one[2]), 0.0, True
-                    if carry[6]:
-                        out.append(carry)
-                        carry = None if row[6] else row
-                        if row[6]:
-                            out.append(row)
-                    else:
-                        out.append(row)
-            if out:
-                yield pd.DataFrame(out, columns=names)
-        if carry is not None:
-            yield pd.DataFrame([close(carry, last)], columns=names)
+            for index, bucket, size, fraction, luck, total, mass, rows in zip(*told, strict=True):
+                if (index, bucket) != group:
+                    group, walk, nth = (index, bucket), _Walk(float(total), mass, keep, rows), 0
+                nth += 1
+                out.append(walk.next(float(size), fraction, (luck + nth * 0.6180339887498949) % 1.0))
+            at = names.index("fraction")
+            yield batch.set_column(at, batch.schema.field(at), pa.array(out, pa.float64()))
 
     return run
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_repeat: float = 2.0, seed: int = 17, bucket_rows: int = 2_000, fan_in: int = 32, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
-    """One row per document: key, source, size, source_size, target, copies (whole times it is taken), taken (copies * size)."""
-    spark = docs.sparkSession
+def mix(
+    docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_repeat: float = 2.0, seed: int = 17, bucket_rows: int = 2_000, fan_in: int = 32,
+    change: int = 32, tolerance: float = 0.002, text: str = "text", source: str = "source", key: str = "doc_id", max_sources: int = MAX_SOURCES,
+) -> DataFrame:
+    """One row per document: key, source, size, source_size, target, copies (whole times it is taken), part (words of one more,
+    for one document of a source at most), taken (copies * size + part)."""
+    bound_batches(docs.sparkSession)
     sized = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").cast("string").alias("source"), words_in(F.col(f"`{text}`")).alias("size"))
+    kind = sized.schema["key"].dataType.simpleString()
+    sized = materialise(sized, "sizes")
     per_source = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows"))
-    sums = per_source.limit(MAX_SOURCES + 1).collect()
-    if len(sums) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources: mix them in groups, or give a coarser source")
-    rows = {r["source"]: r["rows"] for r in sums}
-    plan = plan_targets([(r["source"], r["size"]) for r in sums], weights, share, max_repeat)
-    table = [(i, s, size, t, min(t / size, max_repeat) if size else 0.0, max(1, math.ceil(rows[s] / bucket_rows))) for i, (s, size, t) in enumerate(plan)]
-    kinds = "source_index int, plan_source string, source_size long, target double, ratio double, buckets long"
-    targets = F.broadcast(spark.createDataFrame(table, kinds))
-    met = sized.join(targets, F.col("source").eqNullSafe(F.col("plan_source")))
-    whole = F.floor("ratio").cast("long")
-    state = met.select(
-        F.to_json(F.struct("key")).alias("row"), "size", (F.col("ratio") - whole).alias("fraction"), whole.alias("whole"), "source_index",
-        F.pmod(F.xxhash64("key", "size"), F.col("buckets")).alias("bucket"), F.lit(False).alias("settled"),
-    )
-    depth = max([1, *(1 + math.ceil(math.log(t[5], fan_in) - 1e-9) for t in table)])
-    settled, open_rows = [], state
+    plan, small = _planned(per_source, weights, share, max_repeat, max_sources)
+    named = lambda c: F.concat(F.when(F.col(c).isNull(), "n").otherwise("s"), F.coalesce(F.col(c), F.lit("")))
+    plan, left = plan.withColumn("named", named("source")).drop("source"), sized.withColumn("named", named("source"))
+    # at most max_sources rows are broadcast; more are joined, with hot sources spread
+    met = left.join(F.broadcast(plan), "named") if small else skew_lookup(left, plan, "named", "rows", "key")
+    ratio = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(max_repeat)))).otherwise(0.0)
+    met = met.withColumn("whole", F.floor(ratio).cast("long")).withColumn("fraction", ratio - F.floor(ratio))
+    buckets = F.ceil(F.col("rows") / bucket_rows)
+    met = met.withColumn("bucket", F.pmod(F.xxhash64("key", "size"), buckets)).drop("rows", "named")
+    most = plan.agg(F.max("rows")).first()[0] or 1
+    depth = 1 + max(0, math.ceil(math.log(max(1, math.ceil(most / bucket_rows)), fan_in) - 1e-9))
+    columns = ["key", "source", "size", "source_size", "target", "whole", "fraction", "source_index", "bucket"]
+    open_ = (F.col("size") > 0) & (F.col("fraction") > 0) & (F.col("fraction") < 1)
+    done = [met.filter(~open_).select(columns)]
+    met = met.filter(open_).select(columns)
+    kinds = f"key {kind}, source string, size long, source_size long, target double, whole long, fraction double, source_index long, bucket long"
     for level in range(depth):
+        group = Window.partitionBy("source_index", "bucket")
+        luck = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(level), "key", "size"), 11) / F.lit(float(1 << 53))
+        dealt = met.repartition("source_index", "bucket").withColumns(
+            {"luck": luck, "all_size": F.sum("size").over(group), "all_mass": F.sum(F.col("size") * F.col("fraction")).over(group), "all_rows": F.count(F.lit(1)).over(group)}
+        )
+        sorted_ = dealt.sortWithinPartitions("source_index", "bucket", F.desc("size"), "luck", "key")
         last = level == depth - 1
-        dealt = open_rows.repartition("source_index", "bucket")
-        order = ["source_index", "bucket", F.desc("size"), "row"]
-        done = materialise(dealt.sortWithinPartitions(*order).mapInPandas(_walk(seed, level, last), _STATE), f"mix-{level}")
-        settled.append(done.filter("settled"))
-        open_rows = done.filter("not settled").withColumn("bucket", F.floor(F.col("bucket") / fan_in).cast("long"))
-    result = settled[0]
-    for more in settled[1:]:
+        walked = sorted_.mapInArrow(_walk(0 if last else change), f"{kinds}, luck double, all_size long, all_mass double, all_rows long").select(columns)
+        walked = materialise(walked, f"mix-{level}")
+        done.append(walked if last else walked.filter(~open_))
+        met = walked.filter(open_).withColumn("bucket", F.floor(F.col("bucket") / fan_in).cast("long"))
+    result = done[0]
+    for more in done[1:]:
         result = result.unionByName(more)
-    key_type = docs.select(F.col(f"`{key}`").alias("key")).schema
-    kept = targets.select("source_index", F.col("plan_source").alias("source"), "source_size", "target")
-    return result.join(F.broadcast(kept), "source_index").select(
-        F.from_json("row", key_type)["key"].alias(key), "source", "size", "source_size", "target", F.col("whole").alias("copies"), (F.col("whole") * F.col("size")).alias("taken")
-    )
+    nearest = F.round("fraction")  # of all but one document a source, 0 or 1 already
+    miss = F.abs(F.col("fraction") - nearest) * F.col("size")
+    part = F.when(miss > F.col("target") * tolerance, F.round(F.col("fraction") * F.col("size"))).otherwise(0).cast("long")
+    result = result.withColumn("part", part).withColumn("copies", F.col("whole") + F.when(F.col("part") > 0, 0).when(miss > F.col("target") * tolerance, 0).otherwise(nearest).cast("long"))
+    taken = (F.col("copies") * F.col("size") + F.col("part")).alias("taken")
+    rounded = F.col("whole") + nearest.cast("long")
+    return result.select(F.col("key").alias(free_name(key, RESULT)), "source", "size", "source_size", "target", "copies", "part", taken, rounded.alias("rounded"))
 
 
 def mix_rows(docs: DataFrame, **options) -> DataFrame:
-    """The whole rows of docs, each as often as the mix takes it. Equal rows share their copies evenly."""
+    """The whole rows of docs, each as often as the mix takes it; rows aren't cut, so a source's last document is rounded.
+
+    Equal rows are gathered as one with their number by a partial aggregate, so however many they are, none is a hot key.
+    """
     names = [F.col(f"`{c}`") for c in docs.columns]
     text, source = options.get("text", "text"), options.get("source", "source")
     marks = F.concat(F.hex(F.xxhash64(F.lit("a"), *names)), F.hex(F.xxhash64(F.lit("b"), *names)))
-    marked = docs.select(marks.alias("_row"), F.col(f"`{text}`").alias("_text"), F.col(f"`{source}`").alias("_source"))
-    mixed = mix(marked, **(options | {"key": "_row", "text": "_text", "source": "_source"}))
-    copies = mixed.groupBy("_row").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")).filter("_copies > 0")
-    met = docs.select(*names, marks.alias("_row")).join(copies, "_row")
-    nth = F.row_number().over(Window.partitionBy("_row").orderBy("_row"))
-    times = F.floor(F.col("_copies") / F.col("_rows")) + F.when(F.col("_nth") <= F.pmod("_copies", "_rows"), 1).otherwise(0)
-    met = met.withColumn("_nth", nth).withColumn("_times", times.cast("int")).filter("_times > 0")
-    return met.select(*names, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_time")).drop("_time")
+    marked = docs.select(marks.alias("mark"), F.col(f"`{text}`").alias("text"), F.col(f"`{source}`").alias("source"))
+    mixed = mix(marked, **(options | {"key": "mark", "text": "text", "source": "source"}))
+    copies = mixed.groupBy("mark").agg(F.sum("rounded").cast("int").alias("copies")).filter("copies > 0")
+    rows = docs.select(marks.alias("mark"), F.struct(*names).alias("row")).groupBy("mark").agg(F.first("row").alias("row"))
+    return rows.join(copies, "mark").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
