@@ -5,7 +5,7 @@ bytes are embedded, filters of several widths run over them, each filter keeps i
 and a softmax gives the window's languages. A text's languages are the mean over all its windows.
 
 Training takes about `per_language` rows of each language that are not held out (by hash of their ids) and
-at most `windows_per_row` windows of each, which the executors cut; the driver gets windows only.
+at most `windows_per_row` windows of each, of the `max_languages` most frequent languages, which the executors cut; the driver gets windows only.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; a text shorter than a window
 is padded; rows with a null language are scored but never learned from; with no labelled row at all every
@@ -23,11 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from admitflow.llm.sampling import is_held_out
+from admitflow.plans.shared import bound_batches
 
 WINDOW = 128
 WIDTHS = (2, 3, 4, 5)
 STRIDE = WINDOW - max(WIDTHS) + 1
-#: Distinct languages that a model learns at most; more raise an error.
+#: Distinct languages that a model learns at most (a bound of its sample): the most frequent, ties by name.
 MAX_LANGUAGES = 1000
 UNKNOWN = "und"
 
@@ -111,12 +112,10 @@ def fit(x: np.ndarray, y: np.ndarray, languages: list[str], embed: int = 4, per_
     return n
 
 
-def train(docs: DataFrame, per_language: int = 400, windows_per_row: int = 8, key: str = "doc_id", text: str = "text", lang: str = "lang", holdout=is_held_out) -> Network:
+def train(docs: DataFrame, per_language: int = 400, windows_per_row: int = 8, max_languages: int = MAX_LANGUAGES, key: str = "doc_id", text: str = "text", lang: str = "lang", holdout=is_held_out) -> Network:
     usable = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("binary").alias("raw"), F.col(f"`{lang}`").alias("lang"), holdout(key).alias("out")).filter("not out and lang is not null and key is not null")
     counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    found = counts.limit(MAX_LANGUAGES + 1).collect()
-    if len(found) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    found = counts.orderBy(F.desc("n"), "lang").limit(max_languages).collect()
     languages = sorted(r["lang"] for r in found)
     if not languages:
         return fit(np.zeros((0, WINDOW), np.uint8), np.zeros(0, int), [UNKNOWN])
@@ -142,6 +141,7 @@ def train(docs: DataFrame, per_language: int = 400, windows_per_row: int = 8, ke
 
 def predict(docs: DataFrame, network: Network, key: str = "doc_id", text: str = "text", batch_windows: int = 256) -> DataFrame:
     """key, lang_pred, score for every row of docs."""
+    bound_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(network)  # of fixed size
     body = F.col(f"`{text}`")
     rows = docs.select(F.col(f"`{key}`").alias("key"), body.cast("binary").alias("raw"), F.coalesce(body.rlike(r"\p{L}"), F.lit(False)).alias("letters"))

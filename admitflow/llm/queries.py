@@ -28,7 +28,7 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, max_repeat=2.0)
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "part")
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +91,7 @@ WITH rest AS (
 
 def _license_sql() -> str:
     """Every template at every shared shingle of every text, without retrieval."""
-    values = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(license_scan.TEMPLATES))
+    values = ", ".join("({}, '{}', '{}')".format(i, name.replace("'", "''"), text.replace("'", "''")) for i, (name, text) in enumerate(license_scan.TEMPLATES))
     words = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
     grams = "list_transform(range(1, len(w) - 3), lambda i: list_aggregate(w[i:i + 4], 'string_agg', ' '))"
     return f"""

@@ -70,12 +70,47 @@ def test_exact_dedup(docs, rows):
     by_hash = {hashlib.sha256(t.encode()).hexdigest(): ids for t, ids in groups.items()}
     assert len(got) == len(rows) and sum(r["kept"] for r in got) == len(groups)
     assert all(r["keep_id"] == max(by_hash[r["text_sha256"]]) and r["group_size"] == len(by_hash[r["text_sha256"]]) for r in got)
-    index = exact_dedup.DigestIndex(docs.sparkSession)
-    assert exact_dedup.keep_first(docs, index).count() == len(groups)
-    assert exact_dedup.keep_first(docs, index).count() == 0
     assert exact_dedup.deduplicate(docs.limit(0)).count() == 0
 
 
+def test_digest_index_persists_and_batches_may_be_run_again(spark, docs, rows, tmp_path):
+    texts = {r[1] or "" for r in rows}
+    path = f"file://{tmp_path}/it's an index"
+    first = exact_dedup.keep_first(docs.filter("doc_id < 150"), exact_dedup.DigestIndex(spark, path, buckets=4), batch="a").count()
+    again = exact_dedup.keep_first(docs.filter("doc_id < 150"), exact_dedup.DigestIndex(spark, path), batch="a").count()
+    index = exact_dedup.DigestIndex(spark, path)
+    assert index.buckets == 4 and first == again == len({r[1] or "" for r in rows if r[0] < 150})
+    assert exact_dedup.keep_first(docs, index, batch="b").count() == len(texts) - first
+    assert exact_dedup.keep_first(docs, index, batch="c").count() == 0
+    assert index.read().count() == len(texts)
+    index.drop()
+
+
+def test_digest_index_meets_new_rows_in_a_sort_merge_anti_join(spark, docs):
+    index = exact_dedup.DigestIndex(spark, buckets=4)
+    pairs = exact_dedup.digests(docs)
+    index.add(pairs, "a")
+    groups = pairs.groupBy("digest").agg(F.max("key").alias("keep_id"), F.sum("copies").alias("rows"))
+    plan = index.unseen(groups, "b")._jdf.queryExecution().executedPlan().toString()
+    side = plan[plan.index("SortMergeJoin") :]
+    assert "LeftAnti" in side and side.count("Exchange hashpartitioning(digest") == side.count("4), REPARTITION_BY_NUM") + 1  # the groups' own
+    index.drop()
+
+
+def test_whole_rows_keep_columns_with_clashing_names(spark):
+    names = ["_key", "_keep", "_row", "_digest", "_hash", "_nth", "_one", "_all", "_text", "_source", "key", "rows", "score", "digest", "START"]
+    rows = [(i, f"a text of words that are here {i // 2} times", "s", float(i)) for i in range(6)] + [(None, None, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars double").select("*", *[F.lit("x").alias(n) for n in names])
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    kept = {
+        "exact": exact_dedup.keep_first(frame), "near": jaccard_join.keep_one(frame), "mixed": mixing.mix_rows(frame), "good": quality.keep_good(frame, labels, threshold=0.0),
+    }
+    assert all(f.columns == frame.columns for f in kept.values())
+    assert sorted(r["doc_id"] or -1 for r in kept["exact"].collect()) == [-1, 1, 3, 5]
+    assert sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in kept["near"].collect()) == [-1, 0, 2, 4]
+    assert kept["good"].count() == 7 and all(r["_key"] == "x" for r in kept["mixed"].collect())
+
+
 def test_jaccard_join(docs, rows, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 3)
     sets, root = {}, {}
@@ -142,6 +177,14 @@ def test_warc_round_trip(spark):
     assert warc.read_records(*warc.write_archive(frame.limit(0))).count() == 0
 
 
+def test_warc_keys_of_text(spark):
+    pages = [("b <1>", "u", "x"), ("null", "u", "x"), (None, "u", "x"), ("ü\n", "u", "z")]
+    frame = spark.createDataFrame(pages, "page_id string, url string, html string")
+    folder, index = warc.write_archive(frame)
+    got = {(r["key"], r["record_type"], r["refers_to"]) for r in warc.read_records(folder, index, key_type="string").collect()}
+    assert got == {("b <1>", "response", None), ("null", "revisit", "b <1>"), (None, "revisit", "b <1>"), ("ü\n", "response", None)}
+
+
 def test_top_k(spark):
     draw = random.Random(4)
     vectors = [(i % 90, [draw.choice([0.0, draw.gauss(0, 0.3)]) for _ in range(6)]) for i in range(120)] + [(200, None), (201, [1.0, None]), (202, [float("nan")]), (203, [])]
@@ -158,6 +201,22 @@ def test_top_k(spark):
         assert sorted(got[q]) == [(n + 1, i, -s) for n, (s, i) in enumerate(want)]
 
 
+def test_top_k_of_huge_components(spark):
+    vectors = [(0, [1e300, 2.0]), (1, [1e-302, 5.0]), (2, [-1e300, 0.0]), (3, [0.0, 1e13]), (20, [0.0, 3.0])]
+    frame = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").coalesce(1)
+    got = topk_search.top_k(frame, F.col("vec_id") == 20, k=2).collect()
+    assert [(r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"])] == [(3, 64 * 10**13 * 192), (1, 320 * 192)]
+
+
+def test_scattering_terms_is_the_inner_product():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for top in (5, 1 << 15, 1 << 28, 1 << 40):
+        q, c = (rng.integers(-top, top, (n, 7)) * rng.integers(0, 2, (n, 7)) for n in (9, 11))
+        assert (topk_search.accumulate(q, c) == q.astype(object) @ c.astype(object).T).all()
+
+
 def test_classifiers(spark, docs):
     good = [(i, f"the quick brown fox {i} jumps over lazy dogs and cats. " * 6, "en" if i % 2 else "de", "s", 3) for i in range(80)]
     good = [(i, t if la == "en" else t.replace("the", "der").replace("and", "und ßüö"), la, s, n) for i, t, la, s, n in good]
@@ -174,5 +233,42 @@ def test_classifiers(spark, docs):
 
 def test_license_scan(spark):
     texts = [(1, "x y z Released under the MIT License. more"), (2, None), (3, ""), (4, "released UNDER the mit license"), (5, "under the MIT License."), (1, "a " * 3000 + "Licensed under CC BY-NC 4.0. " + "b " * 3000)]
-    got = {(r["doc_id"], r["license"], r["first_word"]) for r in license_scan.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
-    assert got == {(1, "MIT", 3), (4, "MIT", 0), (1, "CC-BY-NC-4.0", 3000)}
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    for listed in (license_scan.MAX_LISTED, 0):
+        got = {(r["doc_id"], r["license"], r["first_word"]) for r in license_scan.scan(frame, max_listed=listed).collect()}
+        assert got == {(1, "MIT", 3), (4, "MIT", 0), (1, "CC-BY-NC-4.0", 3000)}
+    assert license_scan.scan(frame.limit(0)).count() == 0 and license_scan.scan(frame, []).count() == 0
+    odd = license_scan.scan(frame, [("O'Neill's \"own\"", "Released under the MIT License")]).select("license").distinct().collect()
+    assert [r["license"] for r in odd] == ["O'Neill's \"own\""]
+
+
+def test_license_bands_find_changed_templates(spark):
+    """Every template with every fifth part of its shingles broken in another way, against containment without retrieval."""
+    draw, texts = random.Random(8), []
+    for name, text in license_scan.TEMPLATES:
+        words = text.split()
+        for trial in range(6):
+            changed = list(words)
+            for _ in range(max(0, len(words) // 25) if trial else 0):
+                at = draw.randrange(len(changed))
+                changed[at : at + 1] = draw.choice([[], ["other"], [changed[at], "more"]])
+            front = [f"f{draw.randrange(99)}" for _ in range(trial)]
+            texts.append((len(texts), " ".join([*front, *changed, "end"])))
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+
+    def shingles(text):
+        import regex
+
+        w = regex.findall(r"[\p{L}\p{N}]+", text.lower())
+        return [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+
+    want = set()
+    for i, text in texts:
+        of = shingles(text)
+        for t, (_, template) in enumerate(license_scan.TEMPLATES):
+            own = set(shingles(template))
+            long = len(own) + len(own) // 4
+            if max((len(own & set(of[k : k + long])) for k in range(len(of)) if of[k] in own), default=0) >= 0.8 * len(own):
+                want.add((i, t))
+    got = {(r["doc_id"], r["template"]) for r in license_scan.scan(frame).collect()}
+    assert got == want and len(want) > len(license_scan.TEMPLATES) * 3
