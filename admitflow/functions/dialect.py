@@ -33,6 +33,13 @@ class Dialect:
     def at(self, x: str, part: str) -> str:
         return f"instr({x}, {part})"
 
+    def contains(self, x: str, part: str) -> str:
+        return f"contains({x}, {part})"
+
+    def let(self, name: str, value: str, body: str) -> str:
+        """body with a name for value, which is evaluated once."""
+        return f"transform(array({value}), {name} -> {body})[0]" if self.spark else f"list_transform([{value}], lambda {name}: {body})[1]"
+
     def filter(self, x: str, var: str, condition: str) -> str:
         return f"filter({x}, {var} -> {condition})" if self.spark else f"list_filter({x}, lambda {var}: {condition})"
 
@@ -51,9 +58,6 @@ class Dialect:
     def distinct(self, x: str) -> str:
         return f"array_distinct({x})" if self.spark else f"list_distinct({x})"
 
-    def sort(self, x: str) -> str:
-        return f"array_sort({x})" if self.spark else f"list_sort({x})"
-
     def join(self, x: str, by: str) -> str:
         return f"array_join({x}, {self.text(by)})" if self.spark else f"array_to_string({x}, {self.text(by)})"
 

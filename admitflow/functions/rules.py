@@ -26,10 +26,14 @@ def keywords(d: Dialect, toks: str, stop: list[str] = V.GATE_STOPWORDS) -> str:
     return d.distinct(d.filter(toks, "k", f"length(k) > 2 AND NOT {d.has(d.list(stop), 'k')}"))
 
 
-def overlap(d: Dialect, a: str, b: str) -> str:
-    """TXT6: common share of the smaller set, 0 if either is empty."""
-    least = f"least({d.size(a)}, {d.size(b)})"
-    return f"CASE WHEN {least} = 0 THEN 0.0 ELSE {d.size(d.common(a, b))} * 1.0 / {least} END"
+def few_tokens(d: Dialect, text: str) -> str:
+    """Whether a text has fewer than MIN_PASSAGE_TOKENS tokens. Spark stops at the last that it needs, but for Thai texts."""
+    count = f"({d.size(tokens(d, text))} < {V.MIN_PASSAGE_TOKENS})"
+    if not d.spark:
+        return count
+    inside, outside = TOKEN[:-1], "[^" + TOKEN[1:-1]
+    enough = d.matches(text, f"(?:{inside}+{outside}+){{{V.MIN_PASSAGE_TOKENS - 1}}}{inside}")
+    return f"CASE WHEN {d.matches(text, '[\\x{0E00}-\\x{0E7F}]')} THEN {count} ELSE NOT {enough} END"
 
 
 def phrase_at(d: Dialect, toks: str, phrases: list[str]) -> str:
@@ -55,30 +59,69 @@ def surface_forms(words: list[str]) -> list[str]:
     return sorted(forms)
 
 
-def relation(d: Dialect, claim: str, passage: str) -> str:
-    """CLS8 to CLS11 for two token arrays (columns): the relation of passage to claim."""
-    shared = d.common(keywords(d, claim, V.RELATION_STOPWORDS), keywords(d, passage, V.RELATION_STOPWORDS))
-    near_shared = d.filter(d.positions(passage), "spot", d.has(shared, d.item(passage, "spot")))
-    spots = [phrase_at(d, passage, V.NEGATION_TOKENS + V.NEGATION_PHRASES)]
-    sides = [*V.DIRECTIONAL_PAIRS, *[(b, a) for a, b in V.DIRECTIONAL_PAIRS]]
+def _shared(d: Dialect, claim: str, passage: str) -> str:
+    return d.common(keywords(d, claim, V.RELATION_STOPWORDS), keywords(d, passage, V.RELATION_STOPWORDS))
+
+
+def _told(d: Dialect, claim: str, passage: str, sides: list[tuple[list[str], list[str]]]) -> list[str]:
+    """Places in passage of the second words of a side, for each side of which the claim has one of the first words."""
     empty = d.filter(d.positions(passage), "spot", "spot < 0")
-    by_opposite: dict[str, list[str]] = {}
+    by_other: dict[tuple[str, ...], list[str]] = {}
     for mine, other in sides:
-        by_opposite.setdefault(other, []).append(mine)
-    for other, mine in by_opposite.items():
-        spots.append(f"CASE WHEN {d.size(phrase_at(d, claim, mine))} > 0 THEN {phrase_at(d, passage, [other])} ELSE {empty} END")
+        by_other.setdefault(tuple(other), []).extend(mine)
+    return [f"CASE WHEN {d.size(phrase_at(d, claim, mine))} > 0 THEN {phrase_at(d, passage, list(other))} ELSE {empty} END" for other, mine in by_other.items()]
+
+
+def _reversals(d: Dialect, claim: str, passage: str) -> str:
+    """Places of negations and of words opposite to the claim's (CLS8)."""
+    pairs = [*V.DIRECTIONAL_PAIRS, *[(b, a) for a, b in V.DIRECTIONAL_PAIRS]]
     up, down = surface_forms(V.POSITIVE_WORDS) + V.POSITIVE_PHRASES, surface_forms(V.NEGATIVE_WORDS) + V.NEGATIVE_PHRASES
-    for mine, other in ((up, down), (down, up)):
-        spots.append(f"CASE WHEN {d.size(phrase_at(d, claim, mine))} > 0 THEN {phrase_at(d, passage, other)} ELSE {empty} END")
-    near = lambda at: d.any(at, "r", d.any(near_shared, "s", f"abs(r - s) <= {V.NEAR}"))
-    return f"""CASE WHEN {d.size(claim)} = 0 OR {d.size(passage)} < {V.MIN_PASSAGE_TOKENS} OR {d.size(shared)} = 0 THEN 'UNCLEAR'
-        WHEN {near(d.concat(*spots))} THEN 'CHALLENGES'
-        WHEN {near(phrase_at(d, passage, V.SCOPE_PHRASES))} THEN 'QUALIFIES'
-        WHEN {d.size(shared)} >= {V.MIN_SHARED} THEN 'SUPPORTS' ELSE 'CONTEXT_ONLY' END"""
+    sides = [([mine], [other]) for mine, other in pairs] + [(up, down), (down, up)]
+    return d.concat(phrase_at(d, passage, V.NEGATION_TOKENS + V.NEGATION_PHRASES), *_told(d, claim, passage, sides))
+
+
+def _echoes(d: Dialect, claim: str, passage: str) -> str:
+    """Places of the claim's own directional words and of others of their class."""
+    up, down = surface_forms(V.POSITIVE_WORDS) + V.POSITIVE_PHRASES, surface_forms(V.NEGATIVE_WORDS) + V.NEGATIVE_PHRASES
+    sides = [([x], [x]) for pair in V.DIRECTIONAL_PAIRS for x in pair] + [(up, up), (down, down)]
+    return d.concat(*_told(d, claim, passage, sides))
+
+
+def _near(d: Dialect, at: str, spots: str) -> str:
+    return d.any(at, "r", d.any(spots, "s", f"abs(r - s) <= {V.NEAR}"))
+
+
+def _with_shared(d: Dialect, claim: str, passage: str, body: str) -> str:
+    """body with `shared`, the common keywords, and `spots`, their places in passage, each found once."""
+    spots = d.filter(d.positions(passage), "spot", d.has("shared", d.item(passage, "spot")))
+    return d.let("shared", _shared(d, claim, passage), d.let("spots", spots, body))
+
+
+def relation(d: Dialect, claim: str, passage: str) -> str:
+    """CLS8 to CLS11 for two token arrays (columns): the relation of passage to claim."""
+    body = f"""CASE WHEN {d.size(claim)} = 0 OR {d.size(passage)} < {V.MIN_PASSAGE_TOKENS} OR {d.size('shared')} = 0 THEN 'UNCLEAR'
+        WHEN {_near(d, _reversals(d, claim, passage), 'spots')} THEN 'CHALLENGES'
+        WHEN {_near(d, phrase_at(d, passage, V.SCOPE_PHRASES), 'spots')} THEN 'QUALIFIES'
+        WHEN {d.size('shared')} >= {V.MIN_SHARED} THEN 'SUPPORTS' ELSE 'CONTEXT_ONLY' END"""
+    return _with_shared(d, claim, passage, body)
+
+
+def polarity(d: Dialect, claim: str, passage: str) -> str:
+    """CLS7: what passage does with the claim's direction: NEGATIVE, POSITIVE or NEUTRAL."""
+    body = f"""CASE WHEN {d.size(claim)} = 0 OR {d.size(passage)} < {V.MIN_PASSAGE_TOKENS} OR {d.size('shared')} = 0 THEN 'NEUTRAL'
+        WHEN {_near(d, _reversals(d, claim, passage), 'spots')} THEN 'NEGATIVE'
+        WHEN {d.size('shared')} >= {V.MIN_SHARED} OR {_near(d, _echoes(d, claim, passage), 'spots')} THEN 'POSITIVE' ELSE 'NEUTRAL' END"""
+    return _with_shared(d, claim, passage, body)
+
+
+def subject(d: Dialect, toks: str) -> str:
+    """TXT23: the first four words that carry meaning, repeated ones too; null without any."""
+    words = d.filter(toks, "k", f"length(k) > 2 AND NOT {d.has(d.list(V.RELATION_STOPWORDS), 'k')}")
+    return f"nullif({d.join(d.part(words, '1', 4), ' ')}, '')"
 
 
 def _contains(d: Dialect, text: str, cues: list[str]) -> str:
-    return "(" + " OR ".join(f"{d.at(text, d.text(c))} > 0" for c in cues) + ")"
+    return "(" + " OR ".join(d.contains(text, d.text(c)) for c in cues) + ")"
 
 
 def _free_cue(d: Dialect, text: str, cues: list[str]) -> str:
@@ -86,7 +129,7 @@ def _free_cue(d: Dialect, text: str, cues: list[str]) -> str:
     front = lambda cue: f"substr({text}, 1, {d.at(text, cue)} - 1)"
     # Java tries the pattern from every character, so Spark cuts at the last stop instead
     before = lambda cue: f"substring_index(translate({front(cue)}, '!?', '..'), '.', -1)" if d.spark else f"regexp_extract({front(cue)}, {d.text('[^.!?]*$')})"
-    return d.any(d.list(cues), "c", f"{d.at(text, 'c')} > 0 AND NOT {d.any(d.list(V.SUPPRESSORS), 'm', d.at(before('c'), 'm') + ' > 0')}")
+    return d.any(d.list(cues), "c", f"{d.contains(text, 'c')} AND NOT {d.any(d.list(V.SUPPRESSORS), 'm', d.contains(before('c'), 'm'))}")
 
 
 def _found_by_splitting(d: Dialect, text: str) -> str:
@@ -96,12 +139,12 @@ def _found_by_splitting(d: Dialect, text: str) -> str:
     return d.map(f"slice({ends}, 1, size({ends}) - 1)", "e", "substring_index(translate(e, '!?', '..'), '.', -1)")
 
 
-def statement_type(d: Dialect, text: str, toks: str) -> str:
+def statement_type(d: Dialect, text: str) -> str:
     """CLS5: the kind of statement a passage makes; `text` is lower-cased already."""
     found = _found_by_splitting(d, text) if d.spark else d.find_all(text, r"[^.!?]*?" + V.FOUND_PATTERN)
-    free = d.any(found, "f", f"NOT {d.any(d.list(V.SUPPRESSORS), 'm', d.at('f', 'm') + ' > 0')}")
+    free = d.any(found, "f", f"NOT {d.any(d.list(V.SUPPRESSORS), 'm', d.contains('f', 'm'))}")
     free = f"({d.matches(text, V.FOUND_PATTERN)} AND {free})" if d.spark else free
-    return f"""CASE WHEN {text} IS NULL OR trim({text}) = '' OR {d.size(toks)} < {V.MIN_PASSAGE_TOKENS} THEN 'UNKNOWN'
+    return f"""CASE WHEN {text} IS NULL OR trim({text}) = '' OR {few_tokens(d, text)} THEN 'UNKNOWN'
         WHEN {_free_cue(d, text, V.CONCLUSION_CUES)} THEN 'CONCLUSION'
         WHEN {_free_cue(d, text, V.RESULT_CUES)} OR {free} THEN 'RESULT'
         WHEN {_contains(d, text, V.HYPOTHESIS_CUES)} THEN 'HYPOTHESIS'
@@ -139,7 +182,7 @@ def merge_id(d: Dialect, x: str) -> str:
     out = f"lower(trim({x}))"
     for prefix in ("https://doi.org/", "doi:", "pmid:", "pmcid:", "arxiv:"):
         out = d.replace(out, "^" + prefix.replace(".", r"\."), "")
-    return f"nullif(trim({out}), '')"
+    return f"nullif({out}, '')"
 
 
 def gate_id(d: Dialect, x: str) -> str:
@@ -151,8 +194,9 @@ def gate_id(d: Dialect, x: str) -> str:
 
 
 def title_key(d: Dialect, x: str) -> str:
-    """TXT10 for texts that NFKC leaves alone: lower-cased, without punctuation and symbols, blanks collapsed; null if empty."""
-    return f"nullif(trim({d.replace(d.replace(f'lower(trim({x}))', '[\\p{P}\\p{S}]', ''), '\\s+', ' ')}), '')"
+    """TXT10 of a text in NFKC (operators/identity.py sees to that): lower-cased, trimmed, then without punctuation and
+    symbols, blanks collapsed; null if empty."""
+    return f"nullif({d.replace(d.replace(f'lower(trim({x}))', '[\\p{P}\\p{S}]', ''), '\\s+', ' ')}, '')"
 
 
 def surname(d: Dialect, x: str) -> str:
@@ -177,4 +221,4 @@ def clean_query(d: Dialect, x: str) -> str:
     return f"trim({d.replace(f'trim({d.replace(x, chr(92) + 's+', ' ')})', '[.!?]+$', '')})"
 
 
-__all__ = ["DUCK", "SPARK", "admission", "clean_query", "domain", "gate_id", "keywords", "merge_id", "overlap", "relation", "relevance_tags", "statement_type", "surface_forms", "surname", "title_key", "tokens"]
+__all__ = ["DUCK", "SPARK", "admission", "clean_query", "domain", "gate_id", "keywords", "merge_id", "polarity", "relation", "relevance_tags", "statement_type", "subject", "surface_forms", "surname", "title_key", "tokens"]

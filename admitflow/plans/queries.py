@@ -35,7 +35,8 @@ def _cand(d: Dialect) -> str:
     return """SELECT doc_id AS ord, CASE doc_id % 4 WHEN 0 THEN 'OPENALEX' WHEN 1 THEN 'CROSSREF' WHEN 2 THEN 'PUBMED' ELSE 'THAIJO' END AS adapter,
       CAST(doc_id AS VARCHAR(20)) AS record_id, substr(text, 1, 80) AS title, text AS abstract, 2000 + n_chars % 25 AS year, source AS author,
       CASE WHEN doc_id % 3 <> 0 THEN '10.5555/' || md5(text) END AS doi, CASE WHEN doc_id % 2 = 0 THEN '1234-5678' END AS issn,
-      CASE WHEN doc_id % 5 = 0 THEN 'https://journal.ac.th/' || doc_id END AS url FROM documents"""
+      CASE WHEN doc_id % 5 = 0 THEN 'https://journal.ac.th/' || doc_id END AS url, CASE WHEN doc_id % 7 = 0 THEN 'PMID:' || n_chars END AS pmid,
+      CASE WHEN doc_id % 11 = 0 THEN 'arXiv:' || (n_chars % 1000) END AS arxiv_id, CASE WHEN doc_id % 2 = 0 THEN '{}' END AS raw_metadata FROM documents"""
 
 
 def _values(d: Dialect, names: str, rows: list[tuple]) -> str:
@@ -65,8 +66,8 @@ def discovery_relevance(d: Dialect) -> str:
 
 def statement_type(d: Dialect) -> str:
     cues = _values(d, "cue", [(c,) for c in CUES])
-    return f"""SELECT doc_id, cue, {R.statement_type(d, 'x', 't')} AS statement_type FROM
-      (SELECT doc_id, cue, lower(p) AS x, {R.tokens(d, 'p')} AS t FROM (SELECT doc_id, cue, cue || ' ' || text AS p FROM documents CROSS JOIN {cues}) y) z"""
+    return f"""SELECT doc_id, cue, {R.statement_type(d, 'x')} AS statement_type FROM
+      (SELECT doc_id, cue, lower(cue || ' ' || text) AS x FROM documents CROSS JOIN {cues}) z"""
 
 
 def _turns() -> str:
@@ -88,7 +89,7 @@ def check_claim_evidence(d: Dialect) -> str:
     legal = lambda x, of: f"CASE WHEN {x} IN ({', '.join(repr(v) for v in of)}) THEN {x} END"
     return f"""WITH k AS (SELECT claim, passage, lower(passage) AS x, {R.tokens(d, 'claim')} AS c, {R.tokens(d, 'passage')} AS p FROM
         (SELECT claim, passage FROM {_values(d, 'claim, passage', pairs)} UNION ALL SELECT claim, 'We found ' || passage FROM ({_turns()}) q) y),
-      l AS (SELECT claim, passage, {R.statement_type(d, 'x', 'p')} AS kind, {R.relation(d, 'c', 'p')} AS relation FROM k),
+      l AS (SELECT claim, passage, {R.statement_type(d, 'x')} AS kind, {R.relation(d, 'c', 'p')} AS relation FROM k),
       o AS (SELECT l.*, intended, ai_type, ai_relation, {legal('ai_type', V.STATEMENT_TYPES)} AS t, {legal('ai_relation', V.RELATIONS)} AS r FROM l CROSS JOIN {outside})
       SELECT claim, passage, ai_type, ai_relation, intended, kind, relation,
         CASE WHEN t <> kind OR r <> relation THEN 'HOLD' ELSE {R.admission(d, "'VERIFIED'", 'relation', 'intended', 'kind')} END AS decision,
@@ -108,7 +109,7 @@ def relevance_tags(d: Dialect) -> str:
 
 def normalise_ids(d: Dialect) -> str:
     raw = [("https://doi.org/10.1/AB",), ("doi:10.1/ab",), ("PMID:123",), ("pmcid:PMC9",), ("arXiv:1706.03762",), ("  ",), ("http://doi.org/10.2/x",), ("https://doi.org/doi:10.3/y",)]
-    return f"""SELECT x, {R.merge_id(d, 'x')} AS merge_id, {R.gate_id(d, 'x')} AS gate_id, CASE WHEN {d.matches('x', '10\\.\\d{4,9}/\\S+')} THEN 'doi' WHEN {d.matches('trim(x)', '^\\d{1,9}$')} THEN 'pmid' ELSE 'title' END AS hint
+    return f"""SELECT x, {R.merge_id(d, 'x')} AS merge_id, {R.gate_id(d, 'x')} AS gate_id, CASE WHEN {d.matches(d.replace('trim(x)', '^(?i:https?://doi\\.org/|doi:)', ''), '^10\\.\\d{4,9}/\\S+$')} THEN 'doi' WHEN {d.matches('trim(x)', '^\\d{1,9}$')} THEN 'pmid' ELSE 'title' END AS hint
       FROM (SELECT url AS x FROM pages UNION ALL SELECT x FROM {_values(d, 'x', raw)}) y"""
 
 
@@ -233,7 +234,7 @@ def resolve_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def works_and_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identity.gates(identity.works(cand(spark, sf_dir))).select("work", "n_members", "doi", "conflicts", "state", "g1", "g2", "g3", "g4", "g5", "g7")
+    return identity.works(cand(spark, sf_dir)).select("work", "n_members", "doi", "pmid", "arxiv_id", "conflicts", "state", "g1", "g2", "g3", "g4", "g5", "g7")
 
 
 def fts_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -253,7 +254,7 @@ def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _KEYS = f"""WITH RECURSIVE c AS ({_cand(DUCK)}),
-  k AS (SELECT ord, 'doi:' || {R.merge_id(DUCK, 'doi')} AS key FROM c WHERE {R.merge_id(DUCK, 'doi')} IS NOT NULL UNION ALL
+  k AS (SELECT ord, 'doi:' || lower(doi) AS key FROM c WHERE doi IS NOT NULL UNION ALL SELECT ord, lower(pmid) FROM c WHERE pmid IS NOT NULL UNION ALL SELECT ord, lower(arxiv_id) FROM c WHERE arxiv_id IS NOT NULL UNION ALL
     SELECT ord, 'bib:' || trim(issn) || '|' || {R.title_key(DUCK, 'title')} || '|' || year || '|' || {R.surname(DUCK, 'author')} FROM c WHERE issn IS NOT NULL AND {R.title_key(DUCK, 'title')} IS NOT NULL AND author IS NOT NULL),
   e AS (SELECT DISTINCT a.ord AS u, b.ord AS v FROM k a JOIN k b ON a.key = b.key),
   reach(u, v) AS (SELECT ord, ord FROM c UNION SELECT r.u, e.v FROM reach r JOIN e ON r.v = e.u),
@@ -265,11 +266,11 @@ _OWN = {
     + f""", m AS (SELECT w.work, c.*, coalesce({R.title_key(DUCK, 'title')}, '') AS title_key, lower(trim(author)) AS who FROM w JOIN c USING (ord)),
   g AS (SELECT m.work, count(*) AS n_members, arg_min(m.doi, m.ord) FILTER (m.doi IS NOT NULL) AS doi,
       bool_or(coalesce(m.title_key <> f.title_key AND m.title IS NOT NULL AND f.title IS NOT NULL, FALSE)) AS t, bool_or(coalesce(m.year <> f.year, FALSE)) AS y, bool_or(coalesce(m.who <> f.who AND m.who <> '' AND f.who <> '', FALSE)) AS a,
-      bool_and(m.ord = f.ord OR coalesce(lower(m.doi) = lower(f.doi), FALSE)) AS g2, bool_or(coalesce(trim(m.doi) <> '' , FALSE) OR coalesce(trim(m.url) <> '', FALSE)) AS g4,
-      bool_or(coalesce(trim(m.abstract) <> '', FALSE)) AS g5, any_value(coalesce(trim(f.title) <> '' AND trim(f.author) <> '', FALSE) AND f.year IS NOT NULL) AS whole
+      bool_and(m.ord = f.ord OR EXISTS (SELECT 1 FROM k x JOIN k y ON x.key = y.key WHERE x.ord = m.ord AND y.ord = f.ord)) AS g2, bool_or(coalesce(trim(m.doi) <> '' , FALSE) OR coalesce(trim(m.url) <> '', FALSE)) AS g4,
+      bool_or(coalesce(trim(m.abstract) <> '', FALSE) OR coalesce(trim(m.raw_metadata) <> '', FALSE)) AS g5, arg_min(m.pmid, m.ord) FILTER (m.pmid IS NOT NULL) AS pmid, arg_min(m.arxiv_id, m.ord) FILTER (m.arxiv_id IS NOT NULL) AS arxiv_id, any_value(coalesce(trim(f.title) <> '' AND trim(f.author) <> '', FALSE) AND f.year IS NOT NULL) AS whole
       FROM m JOIN m f ON f.ord = m.work GROUP BY m.work),
   s AS (SELECT *, array_to_string(list_filter([CASE WHEN t THEN 'title' END, CASE WHEN y THEN 'year' END, CASE WHEN a THEN 'authors' END], lambda x: x IS NOT NULL), ',') AS conflicts FROM g)
-  SELECT work, n_members, doi, conflicts, CASE WHEN conflicts <> '' THEN 'CONFLICT' WHEN n_members > 1 OR doi IS NOT NULL THEN 'IDENTIFIED' ELSE 'DISCOVERED' END AS state, TRUE AS g1, g2, whole AND conflicts = '' AS g3, g4, g5, conflicts = '' AS g7 FROM s""",
+  SELECT work, n_members, doi, pmid, arxiv_id, conflicts, CASE WHEN conflicts <> '' THEN 'CONFLICT' WHEN n_members > 1 OR doi IS NOT NULL OR pmid IS NOT NULL OR arxiv_id IS NOT NULL THEN 'IDENTIFIED' ELSE 'DISCOVERED' END AS state, TRUE AS g1, g2, whole AND conflicts = '' AS g3, g4, g5, conflicts = '' AS g7 FROM s""",
     "fts_topk": f"""WITH t AS (SELECT doc_id, {R.tokens(DUCK, 'substr(text, 1, 80)')} AS a, {R.tokens(DUCK, 'text')} AS b FROM documents), n AS (SELECT count(*) AS n_docs, avg(len(a) + len(b)) AS avg_length FROM t),
   p AS (SELECT col, token, doc_id, length, count(*) AS tf FROM (SELECT doc_id, 'title' AS col, unnest(a) AS token, len(a) + len(b) AS length FROM t UNION ALL SELECT doc_id, 'abstract', unnest(b), len(a) + len(b) FROM t) x GROUP BY ALL),
   f AS (SELECT col, token, count(*) AS df FROM p GROUP BY ALL), q AS (SELECT item_id, unnest(list_distinct({R.tokens(DUCK, 'text')})) AS token FROM benchmark),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,15 +25,20 @@ def _full(value: Column) -> Column:
     return F.when(value != "", value)
 
 
+def _read(raw: DataFrame, payload: str, schema: str, keep: Sequence[str]) -> DataFrame:
+    return raw.select(*[F.col(c).alias(f"keep_{c}") for c in keep], F.from_json(payload, schema).alias("r")).select(*[f"keep_{c}" for c in keep], "r.*")
+
+
 def _shape(frame: DataFrame, adapter: str, record: Column, **columns: Column) -> DataFrame:
-    """Rows without a native id make no candidate (PRJ6, PRJ7)."""
+    """Rows without a native id make no candidate (PRJ6, PRJ7); columns that were asked to be kept come first."""
+    kept = [F.col(c).alias(c.removeprefix("keep_")) for c in frame.columns if c.startswith("keep_")]
     null = F.lit(None).cast("string")
     listed = {"source_adapter": F.lit(adapter), "source_record_id": record, **columns}
-    return frame.filter(record.isNotNull() & (F.trim(record) != "")).select(*[listed.get(c, null).alias(c) for c in COLUMNS])
+    return frame.filter(record.isNotNull() & (F.trim(record) != "")).select(*kept, *[listed.get(c, null).alias(c) for c in COLUMNS])
 
 
-def openalex(raw: DataFrame, payload: str = "raw") -> DataFrame:
-    r = raw.select(F.from_json(payload, OPENALEX).alias("r")).select("r.*")
+def openalex(raw: DataFrame, payload: str = "raw", keep: Sequence[str] = ()) -> DataFrame:
+    r = _read(raw, payload, OPENALEX, keep)
     names = F.filter(F.transform("authorships", lambda a: a["author"]["display_name"]), lambda n: n != "")
     return _shape(
         r, "OPENALEX", F.col("id"), title=F.coalesce(_full(F.col("title")), F.col("display_name"), F.lit("")), authors=F.coalesce(names, F.array().cast("array<string>")),
@@ -40,8 +47,8 @@ def openalex(raw: DataFrame, payload: str = "raw") -> DataFrame:
     )
 
 
-def crossref(raw: DataFrame, payload: str = "raw") -> DataFrame:
-    r = raw.select(F.from_json(payload, CROSSREF).alias("r")).select("r.*")
+def crossref(raw: DataFrame, payload: str = "raw", keep: Sequence[str] = ()) -> DataFrame:
+    r = _read(raw, payload, CROSSREF, keep)
     names = F.filter(F.transform("author", lambda a: F.concat_ws(" ", _full(a["given"]), _full(a["family"]))), lambda n: n != "")
     return _shape(
         r, "CROSSREF", F.col("DOI"), title=F.coalesce(F.get("title", F.lit(0)), F.lit("")), authors=F.coalesce(names, F.array().cast("array<string>")),
@@ -49,8 +56,8 @@ def crossref(raw: DataFrame, payload: str = "raw") -> DataFrame:
     )
 
 
-def pubmed(raw: DataFrame, payload: str = "raw") -> DataFrame:
-    r = raw.select(F.from_json(payload, PUBMED).alias("r")).select("r.*")
+def pubmed(raw: DataFrame, payload: str = "raw", keep: Sequence[str] = ()) -> DataFrame:
+    r = _read(raw, payload, PUBMED, keep)
     last = lambda kind: F.try_element_at(F.filter("articleids", lambda a: (a["idtype"] == kind) & (a["value"] != "")), F.lit(-1))["value"]
     names = F.filter(F.transform("authors", lambda a: a["name"]), lambda n: n != "")
     return _shape(
@@ -60,9 +67,9 @@ def pubmed(raw: DataFrame, payload: str = "raw") -> DataFrame:
     )
 
 
-def dublin_core(raw: DataFrame, payload: str = "raw") -> DataFrame:
+def dublin_core(raw: DataFrame, payload: str = "raw", keep: Sequence[str] = ()) -> DataFrame:
     """Harvested records: the last DOI and the first other link of the identifiers count."""
-    r = raw.select(F.from_json(payload, DUBLIN_CORE).alias("r")).select("r.*")
+    r = _read(raw, payload, DUBLIN_CORE, keep)
     is_doi = lambda x: F.contains(F.lower(x), F.lit("doi.org")) | F.startswith(F.lower(x), F.lit("10."))
     doi = F.try_element_at(F.filter("identifiers", is_doi), F.lit(-1))
     link = F.get(F.filter("identifiers", lambda x: F.startswith(F.lower(x), F.lit("http")) & ~is_doi(x)), F.lit(0))
