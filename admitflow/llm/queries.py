@@ -104,7 +104,28 @@ SELECT doc_id, template, license, round(c / n, 6) AS containment, CAST(i AS INTE
 """
 
 
+#: Base32 of a SHA-1 in hex: each five hex digits are four letters.
+_BASE32 = "array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(s, 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31), 1)), '')"
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
 SQL: dict[str, str] = {
+    "op7_warc": f"""
+WITH h AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS s FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY s) AS first FROM h)
+SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
+  CASE WHEN page_id IS DISTINCT FROM first AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to FROM f
+""",
+    "op9_jaccard_join": f"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+g AS (SELECT r, doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s FROM w),
+c AS (SELECT s, min(doc_id) AS class_id FROM g WHERE len(s) > 0 GROUP BY s),
+x AS (SELECT class_id, len(s) AS n, unnest(s) AS k FROM c),
+p AS (SELECT a.class_id AS u, b.class_id AS v FROM x a JOIN x b ON a.k = b.k AND a.class_id <> b.class_id GROUP BY a.class_id, b.class_id, a.n, b.n HAVING count(*) * 100 >= 85 * (a.n + b.n - count(*))),
+reach(u, v) AS (SELECT class_id, class_id FROM c UNION SELECT t.u, p.v FROM reach t JOIN p ON t.v = p.u),
+m AS (SELECT u, min(v) AS component_id FROM reach GROUP BY u), l AS (SELECT u, count(*) AS n_links FROM p GROUP BY u)
+SELECT g.doc_id, CAST(len(g.s) AS BIGINT) AS n_shingles, coalesce(m.component_id, g.doc_id) AS component_id, CAST(coalesce(l.n_links, 0) AS BIGINT) AS n_links, coalesce(c.class_id, g.doc_id) AS class_id
+FROM g LEFT JOIN c ON c.s = g.s LEFT JOIN m ON m.u = c.class_id LEFT JOIN l ON l.u = c.class_id
+""",
     "op6_license_scan": _license_sql(),
     "op1_url_filter": _SPLIT
     + """

@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import os
 import random
 import zlib
 
@@ -111,12 +112,18 @@ def test_whole_rows_keep_columns_with_clashing_names(spark):
     assert kept["good"].count() == 7 and all(r["_key"] == "x" for r in kept["mixed"].collect())
 
 
-def test_jaccard_join(docs, rows, monkeypatch):
+@pytest.mark.parametrize(("n", "percent"), [(4, 85), (2, 40)])
+def test_jaccard_join(spark, docs, rows, monkeypatch, n, percent):
     monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 3)
+    draw = random.Random(5)
+    for i in range(400, 412):  # sizes far apart, each inside the next
+        more = (i, " ".join(f"z{k}" for k in range(4, 8 + 2 * (i - 400)) if draw.random() < 0.97), "en", "s", 1)
+        rows = [*rows, more]
+        docs = docs.unionByName(spark.createDataFrame([more], SCHEMA), allowMissingColumns=True)
     sets, root = {}, {}
     for i, t, *_ in rows:
         w = (t or "").lower().split()
-        sets[i] = {tuple(w[k : k + 4]) for k in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)} if w else set()
+        sets[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
         root[i] = i
 
     def find(x):
@@ -126,10 +133,10 @@ def test_jaccard_join(docs, rows, monkeypatch):
 
     for a in sets:
         for b in sets:
-            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
-    got = jaccard_join.jaccard_join(docs).collect()
+    got = jaccard_join.jaccard_join(docs.coalesce(3), n, percent).collect()
     assert len(got) == len(rows)
     assert all((r["n_shingles"], r["component_id"]) == (len(sets[r["doc_id"]]), find(r["doc_id"])) for r in got)
 
@@ -153,8 +160,21 @@ def test_packing(docs, rows):
             at += n
         assert at <= 4096 and (at & (at - 1)) == 0
     assert sum(r["length"] for r in got) == sum(len(b) * n for b, n in want.items()) // 4
-    crc = {zlib.crc32(b) for b in want}
-    assert all(r["ids_crc32"] in crc for r in got if r["length"] == r["doc_tokens"])
+    ids = collections.defaultdict(list)
+    for r in rows:
+        ids[r[0]].append(np.array([*t.encode(r[1] or "", add_special_tokens=False).ids, 2], "<u4").tobytes())
+    pieces = collections.defaultdict(list)
+    for r in got:
+        pieces[r["doc_id"]].append(r)
+    for doc, own in pieces.items():
+        assert len({r["doc_tokens"] for r in own}) == 1 and len(set(ids[doc])) == 1
+        whole, copies, ends = ids[doc][0], len(ids[doc]), collections.Counter()
+        for r in own:
+            assert zlib.crc32(whole[4 * r["start"] : 4 * (r["start"] + r["length"])]) == r["ids_crc32"]
+            ends[r["start"]] += 1
+            ends[r["start"] + r["length"]] -= 1
+        # every copy's pieces begin where others end, from its first id to its last
+        assert {at: n for at, n in ends.items() if n} == {0: copies, len(whole) // 4: -copies}
 
 
 def test_odd_texts_tokenize_alike():
@@ -272,3 +292,148 @@ def test_license_bands_find_changed_templates(spark):
                 want.add((i, t))
     got = {(r["doc_id"], r["template"]) for r in license_scan.scan(frame).collect()}
     assert got == want and len(want) > len(license_scan.TEMPLATES) * 3
+
+
+def _cheapest_first(lengths, capacity, quadratic):
+    """The packing rule, by looking at every sequence for every piece."""
+    out, pieces, total, full = [], [], 0, 0
+    for d, n in enumerate(lengths):
+        for at in range(0, n - n % capacity, capacity):
+            out.append((d, at, capacity, full, 0))
+            full += 1
+        if n % capacity:
+            pieces.append((n % capacity, d, n - n % capacity))
+            total += n % capacity
+    rooms = [capacity] * (total // capacity)
+    rooms += [1 << b for b in range(20, -1, -1) if total % capacity >> b & 1]
+    left, cost = list(rooms), [0.0] * len(rooms)
+    for n, d, start in sorted(pieces, key=lambda p: (-p[0], p[1])):
+        while n:
+            fit = [s for s in range(len(rooms)) if left[s] >= n]
+            s = min(fit, key=lambda s: (cost[s], s)) if fit else min((s for s in range(len(rooms)) if left[s]), key=lambda s: (-left[s], cost[s], s))
+            k = min(n, left[s])
+            out.append((d, start, k, full + s, rooms[s] - left[s]))
+            left[s] -= k
+            cost[s] += k + quadratic * k * k
+            n, start = n - k, start + k
+    return out
+
+
+def test_packing_takes_the_cheapest_sequence_with_room():
+    draw = random.Random(1)
+    for _ in range(200):
+        capacity = draw.choice([8, 16, 64])
+        lengths = [draw.choice([draw.randrange(1, capacity), draw.randrange(1, 3 * capacity), 1]) for _ in range(draw.randrange(80))]
+        assert packing.pack_group(lengths, capacity, 1.0, 1 / capacity) == _cheapest_first(lengths, capacity, 1 / capacity)
+
+
+def test_pivoting_with_the_rest_of_a_bucket():
+    """The walk's straight line against fractions that are all changed one by one, and means that are kept."""
+    draw = random.Random(3)
+    for _ in range(200):
+        sizes = sorted((draw.choice([1, 3, 50, 400]) for _ in range(draw.randrange(1, 12))), reverse=True)
+        now = [draw.choice([0.3, draw.random()]) for _ in sizes]
+        luck = [draw.random() for _ in sizes]
+        walk = mixing._Walk(sum(sizes), sum(b * q for b, q in zip(sizes, now)), 0, len(sizes))
+        got = [walk.next(b, q, u) for b, q, u in zip(sizes, now, luck)]
+        words = sum(b * q for b, q in zip(sizes, now))
+        for i, b in enumerate(sizes):
+            rest = range(i + 1, len(sizes))
+            mass, total = sum(sizes[j] * now[j] for j in rest), sum(sizes[j] for j in rest)
+            up, down = min((1 - now[i]) * b, mass), min(now[i] * b, total - mass)
+            if up + down <= 1e-9 or now[i] in (0.0, 1.0):
+                continue
+            if luck[i] * (up + down) < down:
+                now[i] += up / b
+                for j in rest:
+                    now[j] *= (mass - up) / mass if mass else 0
+            else:
+                now[i] -= down / b
+                for j in rest:
+                    now[j] = 1 - (1 - now[j]) * ((total - mass - down) / (total - mass) if total > mass else 0)
+        assert all(abs(a - b) < 1e-6 for a, b in zip(got, now)) and abs(sum(b * q for b, q in zip(sizes, got)) - words) < 1e-6
+        assert sum(1e-9 < q < 1 - 1e-9 for q in got) <= 1
+    means = [0.0] * 3
+    for _ in range(4000):
+        walk = mixing._Walk(9, 9 * 0.4, 0, 3)
+        for i, b in enumerate((5, 3, 1)):
+            means[i] += walk.next(b, 0.4, draw.random()) / 4000
+    assert all(abs(m - 0.4) < 0.04 for m in means)
+
+
+@pytest.mark.parametrize(("table", "most"), [("sf0.001", 0.05), ("sf0.01", 0.01)])
+def test_sources_come_near_their_targets(spark, table, most):
+    path = f"/root/testdata/{table}/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables here")
+    mixed = mixing.mix(spark.read.parquet(path))
+    found = mixed.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.count_if(F.col("part") > 0).alias("parts")).collect()
+    assert all(abs(r["taken"] - r["target"]) <= most * r["target"] and r["parts"] <= 1 for r in found)
+    assert mixed.filter("taken > 2 * size").count() == 0
+
+
+def test_sources_planned_apart_have_the_same_targets(spark):
+    draw = random.Random(9)
+    sizes = [(f"s{i}", draw.choice([0, 5, 80, 3000]), 1) for i in range(40)] + [(None, 70, 1), ("é", 9, 1)]
+    frame = spark.createDataFrame(sizes, "source string, size long, rows long")
+    want = {s: t for s, _, t in mixing.plan_targets([(s, n) for s, n, _ in sizes], (3, 1, 2), 1.5, 2.0)}
+    got = {r["source"]: r["target"] for r in mixing._planned(frame, (3, 1, 2), 1.5, 2.0, 5)[0].collect()}
+    assert set(got) == set(want) and all(abs(got[s] - want[s]) < 1e-6 for s in want)
+
+
+def test_factorisation_machine_is_the_sum_over_pairs():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    width, dense = quality.BUCKETS + 3, 3
+    m = quality.Machine(0.2, rng.normal(size=width), rng.normal(size=(width, 4)), np.zeros(dense), np.ones(dense))
+    sizes, bucket = np.array([3, 0, 5]), rng.choice(quality.BUCKETS, 8, replace=False)
+    value, x = rng.normal(size=8), rng.normal(size=(3, dense))
+    got, _ = m.parts(bucket, value, sizes, x)
+    at = 0
+    for row, n in enumerate(sizes):
+        whole = np.zeros(width)
+        whole[bucket[at : at + n]] = value[at : at + n]
+        whole[quality.BUCKETS :] = x[row]
+        at += n
+        live = np.flatnonzero(whole)
+        want = m.bias + whole @ m.weights + sum(m.factors[i] @ m.factors[j] * whole[i] * whole[j] for i in live for j in live if i < j)
+        assert abs(got[row] - want) < 1e-8
+
+
+def test_network_is_convolution_pooling_and_softmax_by_loops():
+    import numpy as np
+
+    net = language_id.fit(np.zeros((0, language_id.WINDOW), np.uint8), np.zeros(0, int), ["a", "b", "c"])
+    x = np.random.default_rng(2).integers(0, 256, (3, language_id.WINDOW)).astype(np.uint8)
+    widest, d = max(language_id.WIDTHS), net.embed.shape[1]
+    for row, got in zip(x, net.chances(x)):
+        pooled = []
+        for f in range(net.filters.shape[1]):
+            best = max(sum(net.embed[row[at + k], c] * net.filters[k * d + c, f] for k in range(widest) for c in range(d)) for at in range(language_id.WINDOW - widest + 1))
+            pooled.append(max(0.0, best + net.bias[f]))
+        z = np.exp(np.array(pooled) @ net.out + net.out_bias)
+        assert np.allclose(got, z / z.sum(), atol=1e-4)
+    widths = [int(np.flatnonzero(net.filters[:, f].reshape(widest, d).any(axis=1)).max()) + 1 for f in range(net.filters.shape[1])]
+    assert sorted(set(widths)) == sorted(language_id.WIDTHS)
+
+
+def test_pipeline_keeps_clean_documents(spark, tmp_path):
+    import corpus_pipeline
+
+    draw = random.Random(6)
+    clean = [(i, " ".join(draw.choice(["river", "stone", "walks", "under", "light", "green", "with", "many", "small", "birds", "along", "north"]) for _ in range(60)) + ".", "en", f"s{i % 3}", 300) for i in range(60)]
+    bad = [(100 + i, f"BUY!!! NOW### %%% {i} " * 12, "en", "s1", 200) for i in range(30)]
+    copies = [(200, clean[0][1], "en", "s0", 300), (201, clean[1][1].replace("river", "river", 1) + " end", "en", "s1", 300), (202, None, None, None, None), (203, "", "en", "s2", 0)]
+    frame = spark.createDataFrame([*clean, *bad, *copies], SCHEMA)
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(r[0], 1, 0) for r in clean] + [(r[0], 0, 0) for r in bad], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept, docs = {}, frame
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        docs = spark.createDataFrame(stage(spark, docs, str(tmp_path)).collect(), SCHEMA)
+        assert docs.columns == frame.columns
+        kept[name] = {r["doc_id"] for r in docs.collect()}
+    ids = {r[0] for r in clean}
+    assert ids <= kept["quality"] and not kept["quality"] & {r[0] for r in bad}
+    assert kept["exact_dedup"] == kept["quality"] - {0} and kept["jaccard_join"] == kept["exact_dedup"] - {201}
+    assert kept["mixing"] <= kept["jaccard_join"] and corpus_pipeline.run(spark, str(tmp_path)).filter("length > 0").count() > 0
