@@ -47,7 +47,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: A trained classifier and a tokenizer can't be written as SQL; the stages are tested against brute force.
+#: A trained classifier and a tokenizer can't be written as SQL; tests/llm tests the stages by hand and their operators against brute force.
 ORACLE_SQL = None
 
 
