@@ -216,8 +216,8 @@ def _packer(path: str, end_id: int, capacity: int, linear: float, quadratic: flo
 
         for batch in batches:
             schema = batch.schema.field(0).type
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 for key, b in zip(part.column(0).to_pylist(), ids_of.encode(texts), strict=True):
                     keys.append(key)
