@@ -30,7 +30,9 @@ from admitflow.plans.shared import bound_batches, fresh_path, materialise
 #: Bytes of queries that are broadcast at once, as 8-byte numbers; one scan of the candidates answers them all.
 QUERY_BYTES = 32 << 20
 #: Candidates and queries of one dense array of scores.
-CHUNK, QUERY_ROWS = 1024, 256
+CHUNK, QUERY_ROWS = 1024, 128
+#: A list of postings is long from this part of the candidates on.
+LONG = 4
 
 #: The score of a query's own row, among numpy's and among Python's integers.
 NONE, LOWEST = np.iinfo(np.int64).min, -(1 << 4000)
@@ -73,18 +75,23 @@ def _exact_kind(queries: np.ndarray, chunk: np.ndarray):
 
 
 def accumulate(queries: np.ndarray, chunk: np.ndarray) -> np.ndarray:
-    """Scores (queries x chunk): per term, the query rows that hold it scatter its weighted postings."""
+    """Scores (queries x chunk): per term, the query rows that hold it scatter its weighted postings.
+
+    Where over 1/LONG of the rows and of the candidates hold a term, its postings are kept as a block with their
+    zeros, which is added at once; shorter lists are scattered by position. Both give the same sums.
+    """
     kind = _exact_kind(queries, chunk)
-    scores = np.zeros((len(queries), len(chunk)), dtype=kind)
-    for term in range(min(queries.shape[1], chunk.shape[1])):
-        rows, postings = np.flatnonzero(queries[:, term]), np.flatnonzero(chunk[:, term])
-        if not len(rows) or not len(postings):
-            continue
-        weighted = np.multiply.outer(queries[rows, term].astype(kind), chunk[postings, term].astype(kind))
-        if weighted.shape == scores.shape:
+    scores, weighted = (np.zeros((len(queries), len(chunk)), dtype=kind) for _ in range(2))
+    width = min(queries.shape[1], chunk.shape[1])
+    met = np.array([t for t in range(width) if queries[:, t].any() and chunk[:, t].any()], dtype=int)  # others may not fit kind
+    holders, lists = (np.ascontiguousarray(x[:, met].T, dtype=kind) for x in (queries, chunk))
+    for asked, weights in zip(holders, lists, strict=True):
+        rows, postings = np.flatnonzero(asked), np.flatnonzero(weights)
+        if LONG * len(rows) > len(asked) and LONG * len(postings) > len(weights):
+            np.multiply(asked[:, None], weights, out=weighted)
             scores += weighted
         else:
-            scores[rows[:, None], postings] += weighted
+            scores[rows[:, None], postings] += np.multiply.outer(asked[rows], weights[postings])
     return scores if kind is object else scores.astype(np.int64, copy=False)
 
 

@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import itertools
 import os
 import random
 import zlib
@@ -232,8 +233,8 @@ def test_scattering_terms_is_the_inner_product():
     import numpy as np
 
     rng = np.random.default_rng(3)
-    for top in (5, 1 << 15, 1 << 28, 1 << 40):
-        q, c = (rng.integers(-top, top, (n, 7)) * rng.integers(0, 2, (n, 7)) for n in (9, 11))
+    for top, rare in itertools.product((5, 1 << 15, 1 << 28, 1 << 40), (2, 12)):  # long lists of postings, then short ones
+        q, c = (rng.integers(-top, top, (n, 7)) * (rng.integers(0, rare, (n, 7)) == 1) for n in (19, 31))
         assert (topk_search.accumulate(q, c) == q.astype(object) @ c.astype(object).T).all()
 
 
