@@ -11,8 +11,11 @@ from admitflow.functions import rules as R
 from admitflow.functions import vocab as V
 from admitflow.functions.dialect import DUCK, SPARK, Dialect
 from admitflow.operators import identity, search, upsert
+from admitflow.plans.shared import read_spread
 
 TABLES = ("documents", "benchmark", "conversations", "events", "pages", "labels")
+#: Tables of long texts, on which rules spend much time a row.
+PROSE = ("documents", "conversations", "pages")
 
 #: Cue passages, as the tables' prose is invented and holds none.
 CUES = ["We found no significant association", "In conclusion", "We hypothesize", "This study aims to", "Previous studies suggest", "One limitation is", "We used",
@@ -211,7 +214,8 @@ STATED: list[Callable[[Dialect], str]] = [
 def _views(spark: SparkSession, sf_dir: str, sql: str) -> None:
     for t in TABLES:
         if t in sql:
-            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+            path = f"{sf_dir}/{t}.parquet"
+            (read_spread(spark, path) if t in PROSE else spark.read.parquet(path)).createOrReplaceTempView(t)
 
 
 def _run(rule: Callable[[Dialect], str]) -> Callable[[SparkSession, str], DataFrame]:
@@ -238,7 +242,7 @@ def works_and_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fts_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.substring("text", 1, 80).alias("title"), F.col("text").alias("abstract"))
+    docs = read_spread(spark, f"{sf_dir}/documents.parquet").select("doc_id", F.substring("text", 1, 80).alias("title"), F.col("text").alias("abstract"))
     asked = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return search.top_k(asked, docs, "item_id", "text", "doc_id", ["title", "abstract"], 50)
 

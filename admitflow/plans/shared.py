@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 #: Most bytes of rows in one Arrow batch between the JVM and Python, unless the session says otherwise.
 BATCH_BYTES = 8 << 20
+#: Most bytes of a table whose rows are dealt out anew because it lies in fewer files than there are cores.
+SPREAD_BYTES = 1 << 30
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -53,6 +55,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def read_spread(spark: SparkSession, path: str) -> DataFrame:
+    """The Parquet table at path, for rules that spend far more on a row than reading it.
+
+    A small file is often one row group, which Spark reads in one task whatever the split size. Tables of up to
+    SPREAD_BYTES in fewer files than there are cores are dealt over all cores; others are read as they lie.
+    """
+    table, cores = spark.read.parquet(path), spark.sparkContext.defaultParallelism
+    size = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return table.repartition(cores) if size <= SPREAD_BYTES and len(table.inputFiles()) < cores else table
+
+
 def skew_lookup(left: DataFrame, right: DataFrame, key: str, weight: str, spread: str, parts: int = 512) -> DataFrame:
     """Left join of `right` (unique `key`; `weight` = rows of that key) that spreads hot keys.
 
