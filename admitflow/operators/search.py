@@ -9,29 +9,33 @@ from pyspark.sql.window import Window
 from admitflow.functions import rules
 from admitflow.functions import vocab as V
 from admitflow.functions.dialect import SPARK
+from admitflow.plans.shared import materialise
 
 
-def postings(docs: DataFrame, key: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(col, token, key, tf, length) and lengths (key, length): length counts the tokens of all columns together."""
+def postings(docs: DataFrame, key: str, columns: list[str], wanted: DataFrame) -> DataFrame:
+    """(col, token, key, tf, length) of the wanted tokens, and a row without column and token for each document, in a kept table.
+
+    length counts the tokens of all columns together. Documents are tokenised once for both.
+    """
     toks = docs.select(F.col(key).alias("key"), *[F.expr(rules.tokens(SPARK, c)).alias(c) for c in columns])
-    length = sum(F.coalesce(F.size(c), F.lit(0)) for c in columns)
-    toks = toks.withColumn("length", length)
-    each = toks.select("key", "length", F.explode(F.map_from_arrays(F.array(*map(F.lit, columns)), F.array(*columns))).alias("col", "list"))
-    found = each.select("key", "length", "col", F.explode("list").alias("token")).groupBy("col", "token", "key", "length").agg(F.count(F.lit(1)).alias("tf"))
-    return found, toks.select("key", "length")
+    toks = toks.withColumn("length", sum(F.coalesce(F.size(c), F.lit(0)) for c in columns))
+    listed = F.map_from_arrays(F.array(F.lit(""), *map(F.lit, columns)), F.array(F.array(F.lit("")), *columns))
+    each = toks.select("key", "length", F.explode(listed).alias("col", "list")).select("key", "length", "col", F.explode("list").alias("token"))
+    # the empty token is each document's own row
+    each = each.join(wanted.select("token").unionByName(wanted.sparkSession.createDataFrame([("",)], "token string")), "token", "left_semi")
+    return materialise(each.groupBy("col", "token", "key", "length").agg(F.count(F.lit(1)).alias("tf")), "postings")
 
 
 def top_k(queries: DataFrame, docs: DataFrame, query_key: str, query_text: str, key: str, columns: list[str], k: int = 50) -> DataFrame:
     """query_id, rank, key, score: the k lowest scores of each query (a bm25 score is better the lower it is), ties by key.
 
     Queries and postings meet on tokens, never all queries with all rows; the ranking's window keeps k rows per
-    query before it shuffles.
+    query before it shuffles. `fulltext.FullTextIndex` gives the same ranking from postings that are kept.
     """
-    post, lengths = postings(docs, key, columns)
-    total = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("avg_length"))
     asked = queries.select(F.col(query_key).alias("query_id"), F.explode(F.array_distinct(F.expr(rules.tokens(SPARK, query_text)))).alias("token"))
-    wanted = asked.select("token").distinct()
-    post = post.join(wanted, "token", "left_semi")
+    every = postings(docs, key, columns, asked.select("token").distinct())
+    total = every.filter("col = ''").agg(F.sum("tf").alias("n_docs"), (F.sum(F.col("length") * F.col("tf")) / F.sum("tf")).alias("avg_length"))
+    post = every.filter("col <> ''")
     df = post.groupBy("col", "token").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf <= 0, F.lit(V.LEAST_IDF)).otherwise(idf)

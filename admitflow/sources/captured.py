@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from admitflow.operators.fulltext import FullTextIndex
 from admitflow.sources import projections as P
+from admitflow.sources.local import search as local_search
 
 #: The default sources in their order, and the harvested endpoints' categories with their numbers of journals.
 DEFAULT_SOURCES = ("OPENALEX", "CROSSREF", "PUBMED", "THAIJO")
@@ -39,12 +41,31 @@ def _items(adapter: str):
     return F.from_json(field, "array<string>")
 
 
-def search(capture: DataFrame, wanted: DataFrame, injected: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+#: What is said of a source that has neither a capture's reader nor an index.
+NOT_CONNECTED = "this source isn't connected: nothing was asked"
+
+
+def search(capture: DataFrame, wanted: DataFrame, injected: DataFrame | None = None, index: FullTextIndex | None = None, as_of: float = 0.0) -> tuple[DataFrame, DataFrame]:
     """(calls, candidates) for wanted (query_id, query, adapter) rows.
 
     calls: query_id, query, adapter, outcome (HIT or a state) and note. `injected` (adapter, query, state) forces failures for
-    exact query texts; it never makes a record (SRC12). A query that the capture doesn't hold timed out.
+    exact query texts; it never makes a record (SRC12). A query that the capture doesn't hold timed out. THAIJO is
+    answered by the kept index, if there is one, as of the time given; other sources are NOT_CONNECTED.
     """
+    local = index is not None
+    others = wanted.filter(~F.col("adapter").isin(*RECORDS, *(["THAIJO"] if local else [])))
+    calls, candidates = _captured(capture, wanted.filter(F.col("adapter").isin(*RECORDS)), injected)
+    calls = calls.unionByName(others.select("query_id", "query", "adapter", F.lit("NOT_CONNECTED").alias("outcome"), F.lit(NOT_CONNECTED).alias("note")))
+    if local:
+        asked = wanted.filter("adapter = 'THAIJO'")
+        forced = injected.filter("adapter = 'THAIJO'").select("query", "state") if injected is not None else asked.select("query", F.lit(None).cast("string").alias("state")).limit(0)
+        own, found = local_search(index, asked.join(forced, "query", "left_anti"), as_of)
+        failed = asked.join(forced, "query").select("query_id", "query", "adapter", F.col("state").alias("outcome"), F.lit(None).cast("string").alias("note"))
+        calls, candidates = calls.unionByName(own.drop("evidence")).unionByName(failed), candidates.unionByName(found.drop("nth"))
+    return calls, candidates
+
+
+def _captured(capture: DataFrame, wanted: DataFrame, injected: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     met = wanted.join(capture, ["adapter", "query"], "left")
     if injected is not None:
         met = met.join(injected.select("adapter", "query", F.col("state").alias("forced")), ["adapter", "query"], "left")

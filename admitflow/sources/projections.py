@@ -81,16 +81,29 @@ def dublin_core(raw: DataFrame, payload: str = "raw", keep: Sequence[str] = ())
     )
 
 
+#: An OAI-PMH page, with the fields of Dublin Core beneath the metadata or a wrapper of theirs; prefixes of names don't count.
+_DC = ", ".join(f"{name} array<string>" for name in ("title", "creator", "date", "identifier", "description", "source"))
+OAI_PAGE = f"error array<struct<_code: string, _VALUE: string>>, ListRecords struct<record: array<struct<header: struct<identifier: string>, metadata: struct<dc: struct<{_DC.replace(' array', ': array')}>, {_DC.replace(' array', ': array')}>>>, resumptionToken: string>, resumptionToken string, _corrupt string"
+
+
 def oai_records(pages: DataFrame, xml: str = "xml") -> DataFrame:
-    """SRC8: the Dublin Core records of OAI-PMH pages, with each page's token and protocol error."""
-    own = pages.withColumn("error", F.expr(f"""nullif(xpath_string({xml}, "//*[local-name()='error']/@code"), '')""")).withColumn("token", F.expr(f"""nullif(trim(xpath_string({xml}, "//*[local-name()='resumptionToken']")), '')"""))
-    # xpath takes constant paths only, so a page is cut into its records first
-    cut = own.withColumn("_record", F.explode_outer(F.regexp_extract_all(xml, F.lit(r"(?s)<((?:[\w.-]+:)?)record[\s>].*?</\1record\s*>"), F.lit(0))))
-    head = F.expr("""nullif(xpath_string(_record, "//*[local-name()='header']/*[local-name()='identifier']"), '')""")
-    part = lambda name: F.expr(f"""xpath(_record, "//*[local-name()='{name}']/text()")""")
-    own_ids = F.expr("""xpath(_record, "//*[local-name()='metadata']//*[local-name()='identifier']/text()")""")  # the header has one too
-    names = {"title": "titles", "creator": "creators", "date": "dates", "description": "descriptions", "source": "sources"}
-    return cut.select(*pages.columns, "error", "token", head.alias("identifier"), own_ids.alias("identifiers"), *[part(k).alias(v) for k, v in names.items()])
+    """SRC8: the Dublin Core records of OAI-PMH pages, with each page's state and token; one row, without a record, for a page that has none.
+
+    state is PARSER_ERROR for what isn't XML (or null), for a page without a list of records and for a protocol error, NOT_FOUND
+    for noRecordsMatch, else null. Records without an identifier are left out; empty elements are empty texts; what follows the root element is ignored.
+    """
+    page = F.from_xml(F.coalesce(F.col(xml), F.lit("")), OAI_PAGE, {"ignoreNamespace": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "ignoreSurroundingSpaces": "true"})
+    own = pages.withColumn("_page", page)
+    code, bad = F.get("_page.error", F.lit(0))["_code"], F.col("_page._corrupt").isNotNull() | F.col("_page").isNull()
+    state = F.when(bad, "PARSER_ERROR").when(code == "noRecordsMatch", "NOT_FOUND").when(F.col("_page.error").isNotNull() | F.col("_page.ListRecords").isNull(), "PARSER_ERROR")
+    own = own.withColumn("state", state)
+    good = lambda x: F.when(F.col("state").isNull(), x)
+    listed = F.filter("_page.ListRecords.record", lambda r: F.coalesce(r["header"]["identifier"], F.lit("")) != "")
+    token = F.trim(F.coalesce("_page.ListRecords.resumptionToken", "_page.resumptionToken"))  # some servers put it behind the list
+    cut = own.select(*pages.columns, "state", good(F.when(token != "", token)).alias("token"), F.explode_outer(good(listed)).alias("_record"))
+    part = lambda name: F.transform(F.coalesce(F.col(f"_record.metadata.dc.{name}"), F.col(f"_record.metadata.{name}"), F.array().cast("array<string>")), lambda x: F.coalesce(x, F.lit("")))
+    names = {"identifier": "identifiers", "title": "titles", "creator": "creators", "date": "dates", "description": "descriptions", "source": "sources"}
+    return cut.select(*pages.columns, "state", "token", F.col("_record.header.identifier").alias("identifier"), *[F.when(F.col("_record").isNotNull(), part(k)).alias(v) for k, v in names.items()])
 
 
 def http_state(status: Column, exception: Column, body: Column) -> Column:

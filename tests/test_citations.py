@@ -1,7 +1,6 @@
 """The citation entries against plain Python on small tables, and rules against rows labelled by hand."""
 
 import itertools
-import time
 from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
@@ -10,7 +9,6 @@ from admitflow.functions import vocab as V
 from admitflow.operators import identity, verification
 from admitflow.plans import citations
 from admitflow.sources import captured, serialise
-from admitflow.streaming import harvest
 
 CAND = "query_id long, ord long, adapter string, record_id string, title string, authors array<string>, year int, doi string, pmid string, issn string, url string, abstract string, raw_metadata string, query string"
 ROWS = [
@@ -130,30 +128,6 @@ def test_captured_searches(spark):
     assert [r["query"] for r in queries.orderBy("nth").collect()] == ["plain", "x"] and [tuple(r) for r in forced.collect()] == [("s", "OPENALEX", "x", "TIMEOUT")]
 
 
-def test_harvest_in_batch_and_as_a_stream(spark, tmp_path):
-    from tests import fake_oai
-
-    fake_oai.broken["so02"] = True
-    path, codes = f"file://{tmp_path}/batch", ["so01", "so02", "so03", "sc01"]
-    row = harvest.sync(spark, path, codes, "tests.fake_oai:fetch", 5.0, interval=0).first()
-    assert (row["endpoints"], row["ok"], row["failed"], row["records"]) == (4, 2, 2, 5)
-    store = harvest.Store(spark, f"{path}/records", ["code", "native_id"], ["harvested_at"])
-    assert sorted((r["code"], r["native_id"]) for r in store.read().collect()) == [("so01", "a"), ("so01", "b"), ("so01", "c"), ("so02", "a"), ("so02", "b")]
-    store.upsert(store.read().withColumn("harvested_at", F.lit(9.0)))
-    assert store.version() == 1 and store.read().count() == 5 and store.read().agg(F.min("harvested_at")).first()[0] == 9.0
-    store.upsert(store.read(), 1)  # delivered again
-    assert store.version() == 1
-    fake_oai.broken["so02"] = False
-    stream = harvest.sync_stream(spark, f"file://{tmp_path}/stream", ["so01", "sc01"], "tests.fake_oai:fetch", f"{tmp_path}/checkpoint", interval=0, clock=lambda: 1.0)
-    kept = harvest.Store(spark, f"file://{tmp_path}/stream/records", ["code", "native_id"], ["harvested_at"])
-    for _ in range(120):
-        if stream.exception() or (kept.read() is not None and kept.read().count() == 3):
-            break
-        time.sleep(0.5)
-    stream.stop()
-    assert stream.exception() is None and sorted(r["native_id"] for r in kept.read().collect()) == ["a", "b", "c"]
-
-
 def test_serialisers_and_contracts(spark):
     rows = identity.whole(hits(spark)).withColumn("tags", F.when(F.col("ord") == 1, F.array(F.lit("A"), F.lit("B"))))
     got = {r["ord"]: r["line"] for r in rows.select("ord", serialise.citation_line("tags").alias("line")).collect()}
