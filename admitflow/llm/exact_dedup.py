@@ -59,10 +59,17 @@ class DigestIndex:
             f"CREATE TABLE IF NOT EXISTS {self.table} (digest BINARY, keep_id {key_type}, rows BIGINT, batch STRING) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{at}'"
         )
+        self._mark([], "ignore")
         spark.catalog.refreshTable(self.table)
 
+    def _done(self) -> DataFrame:
+        """(label, batch) of the batches that are whole: a batch's files may be committed in part, its line here is one file."""
+        return self.spark.read.schema("label string, batch string").parquet(f"{self.path}/_done")
+
     def read(self) -> DataFrame:
-        return self.spark.table(self.table)
+        """digest, keep_id, rows, batch of the batches that are whole."""
+        # a line for each batch ever added, of which Spark broadcasts as many as its threshold allows
+        return self.spark.table(self.table).withColumnRenamed("batch", "label").join(self._done(), "label").select("digest", "keep_id", "rows", "batch")
 
     def unseen(self, groups: DataFrame, batch: str) -> DataFrame:
         """The rows of groups whose digest no other batch brought, by a sort-merge anti-join in the index's buckets."""
@@ -70,12 +77,19 @@ class DigestIndex:
         return groups.repartition(self.buckets, "digest").join(held.hint("merge"), "digest", "left_anti")
 
     def add(self, pairs: DataFrame, batch: str) -> None:
-        """Append the texts of `digests` rows that are new, one sorted file a bucket; a batch that is held already isn't added again."""
-        if self.read().filter(F.col("batch") == batch).limit(1).count():
+        """Append the texts of `digests` rows that are new, one sorted file a bucket; a batch that is held already isn't added again.
+
+        Rows count once the batch's line is written, so what a broken attempt has left is never read.
+        """
+        if self._done().filter(F.col("batch") == batch).limit(1).count():
             return
         groups = pairs.groupBy("digest").agg(F.max("key").alias("keep_id"), F.sum("copies").alias("rows"))
-        new = self.unseen(groups, batch).sortWithinPartitions("digest")
-        new.select("digest", "keep_id", "rows", F.lit(batch).alias("batch")).write.insertInto(self.table)
+        new, label = self.unseen(groups, batch).sortWithinPartitions("digest"), uuid.uuid4().hex
+        new.select("digest", "keep_id", "rows", F.lit(label).alias("batch")).write.insertInto(self.table)
+        self._mark([(label, batch)], "append")
+
+    def _mark(self, lines: list[tuple[str, str]], mode: str) -> None:
+        self.spark.createDataFrame(lines, "label string, batch string").coalesce(1).write.mode(mode).parquet(f"{self.path}/_done")
 
     def drop(self) -> None:
         """Forget the index and delete its folder."""

@@ -170,7 +170,9 @@ def _retrieve(segments: DataFrame, listed: list, bands: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, least: float = 0.8, key: str = "doc_id", text: str = "text", max_listed: int = MAX_LISTED) -> DataFrame:
-    """One row per document and template found; see the module's description."""
+    """One row per document and template found; see the module's description. The bands are made for a containment of 0.8 and more: a smaller `least` is refused."""
+    if least < 0.8:
+        raise ValueError(f"bands find templates contained by 0.8 or more, not by {least}")
     table = template_table(docs.sparkSession, templates)
     bands = materialise(signatures(table), "signatures")
     few = bands.limit(max_listed + 1).collect()

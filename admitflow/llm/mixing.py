@@ -163,8 +163,15 @@ def mix(
     for one document of a source at most), taken (copies * size + part)."""
     bound_batches(docs.sparkSession)
     sized = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").cast("string").alias("source"), words_in(F.col(f"`{text}`")).alias("size"))
+    return _mix(sized, weights, share, max_repeat, seed, bucket_rows, fan_in, change, tolerance, max_sources).withColumnRenamed("key", free_name(key, RESULT))
+
+
+def _mix(sized: DataFrame, weights, share, max_repeat, seed, bucket_rows, fan_in, change, tolerance, max_sources) -> DataFrame:
+    """mix for (key, source, size)."""
     kind = sized.schema["key"].dataType.simpleString()
-    sized = materialise(sized, "sizes")
+    # equal rows are counted and numbered, so that their number deals them to buckets like others
+    sized = sized.groupBy("key", "source", "size").agg(F.count(F.lit(1)).alias("equal"))
+    sized = materialise(sized.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "equal"))).drop("equal"), "sizes")
     per_source = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows"))
     plan, small = _planned(per_source, weights, share, max_repeat, max_sources)
     named = lambda c: F.concat(F.when(F.col(c).isNull(), "n").otherwise("s"), F.coalesce(F.col(c), F.lit("")))
@@ -174,21 +181,21 @@ def mix(
     ratio = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(max_repeat)))).otherwise(0.0)
     met = met.withColumn("whole", F.floor(ratio).cast("long")).withColumn("fraction", ratio - F.floor(ratio))
     buckets = F.ceil(F.col("rows") / bucket_rows)
-    met = met.withColumn("bucket", F.pmod(F.xxhash64("key", "size"), buckets)).drop("rows", "named")
+    met = met.withColumn("bucket", F.pmod(F.xxhash64("key", "size", "nth"), buckets)).drop("rows", "named")
     most = plan.agg(F.max("rows")).first()[0] or 1
     depth = 1 + max(0, math.ceil(math.log(max(1, math.ceil(most / bucket_rows)), fan_in) - 1e-9))
-    columns = ["key", "source", "size", "source_size", "target", "whole", "fraction", "source_index", "bucket"]
+    columns = ["key", "nth", "source", "size", "source_size", "target", "whole", "fraction", "source_index", "bucket"]
     open_ = (F.col("size") > 0) & (F.col("fraction") > 0) & (F.col("fraction") < 1)
     done = [met.filter(~open_).select(columns)]
     met = met.filter(open_).select(columns)
-    kinds = f"key {kind}, source string, size long, source_size long, target double, whole long, fraction double, source_index long, bucket long"
+    kinds = f"key {kind}, nth long, source string, size long, source_size long, target double, whole long, fraction double, source_index long, bucket long"
     for level in range(depth):
         group = Window.partitionBy("source_index", "bucket")
-        luck = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(level), "key", "size"), 11) / F.lit(float(1 << 53))
+        luck = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(level), "key", "size", "nth"), 11) / F.lit(float(1 << 53))
         dealt = met.repartition("source_index", "bucket").withColumns(
             {"luck": luck, "all_size": F.sum("size").over(group), "all_mass": F.sum(F.col("size") * F.col("fraction")).over(group), "all_rows": F.count(F.lit(1)).over(group)}
         )
-        sorted_ = dealt.sortWithinPartitions("source_index", "bucket", F.desc("size"), "luck", "key")
+        sorted_ = dealt.sortWithinPartitions("source_index", "bucket", F.desc("size"), "luck", "key", "nth")
         last = level == depth - 1
         walked = sorted_.mapInArrow(_walk(0 if last else change), f"{kinds}, luck double, all_size long, all_mass double, all_rows long").select(columns)
         walked = materialise(walked, f"mix-{level}")
@@ -203,13 +210,14 @@ def mix(
     result = result.withColumn("part", part).withColumn("copies", F.col("whole") + F.when(F.col("part") > 0, 0).when(miss > F.col("target") * tolerance, 0).otherwise(nearest).cast("long"))
     taken = (F.col("copies") * F.col("size") + F.col("part")).alias("taken")
     rounded = F.col("whole") + nearest.cast("long")
-    return result.select(F.col("key").alias(free_name(key, RESULT)), "source", "size", "source_size", "target", "copies", "part", taken, rounded.alias("rounded"))
+    return result.select("key", "source", "size", "source_size", "target", "copies", "part", taken, rounded.alias("rounded"))
 
 
 def mix_rows(docs: DataFrame, **options) -> DataFrame:
     """The whole rows of docs, each as often as the mix takes it; rows aren't cut, so a source's last document is rounded.
 
-    Equal rows are gathered as one with their number by a partial aggregate, so however many they are, none is a hot key.
+    Equal rows are gathered as one with their number by a partial aggregate, and mixed as so many documents, so however many
+    they are, none is a hot key.
     """
     names = [F.col(f"`{c}`") for c in docs.columns]
     text, source = options.get("text", "text"), options.get("source", "source")

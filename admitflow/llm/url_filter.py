@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from admitflow.plans.shared import free_name
+
 #: Rules up to this number are broadcast as a trie (well under 100 MB); more are joined by host.
 MAX_TRIE_RULES = 200_000
 
@@ -96,18 +98,21 @@ def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]] | DataFr
     def judge(hosts: pd.Series, paths: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([trie.value.match(h, p) for h, p in zip(hosts, paths, strict=True)], columns=["rule", "verdict"])
 
-    judged = split.withColumn("_found", judge("host", "path"))
-    return judged.select(*[f"`{c}`" for c in split.columns], F.col("_found.rule").alias("rule"), F.coalesce("_found.verdict", F.lit(default)).alias("verdict"))
+    found = free_name("_found", split.columns)
+    return _shown(split.withColumn(found, judge("host", "path")), split.columns, found, default)
+
+
+def _shown(judged: DataFrame, columns: list[str], found: str, default: str) -> DataFrame:
+    return judged.select(*[f"`{c}`" for c in columns], F.col(f"{found}.rule").alias("rule"), F.coalesce(F.col(f"{found}.verdict"), F.lit(default)).alias("verdict"))
 
 
 def _by_join(split: DataFrame, rules: DataFrame, default: str) -> DataFrame:
     """The same result for rule tables too large to broadcast: host suffixes meet rules in a shuffled join."""
     rules = rules.select(F.translate("host", _UPPER, _LOWER).alias("_host"), F.col("path").alias("_path"), "verdict")
     rules = rules.groupBy("_host", "_path").agg(F.min_by("verdict", F.col("verdict") != "block").alias("_verdict"))
-    urls = split.select("host", "path").distinct()
+    urls, found = split.select("host", "path").distinct(), free_name("_best", split.columns)
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     met = urls.select("host", "path", F.explode(suffixes).alias("_host")).join(rules, "_host").filter(F.startswith("path", "_path"))
-    best = met.groupBy("host", "path").agg(F.max_by(F.struct(F.concat("_host", "_path").alias("rule"), "_verdict"), F.struct(F.length("_host"), F.length("_path"))).alias("_best"))
-    joined = split.join(best, ["host", "path"], "left")
-    return joined.select(*[f"`{c}`" for c in split.columns], F.col("_best.rule").alias("rule"), F.coalesce("_best._verdict", F.lit(default)).alias("verdict"))
+    best = met.groupBy("host", "path").agg(F.max_by(F.struct(F.concat("_host", "_path").alias("rule"), F.col("_verdict").alias("verdict")), F.struct(F.length("_host"), F.length("_path"))).alias(found))
+    return _shown(split.join(best, ["host", "path"], "left"), split.columns, found, default)
