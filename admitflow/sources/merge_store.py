@@ -98,7 +98,8 @@ class Pieces:
 
     def write(self, rows: DataFrame, entry: str, table: str, bucket: Column) -> list[str]:
         """Write rows as a piece of the table in each bucket that they touch; the buckets."""
-        rows.withColumn(BUCKET, bucket).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.path}/data/{entry}/{table}")
+        # few files a bucket, however many tasks there are; large buckets are split at run time
+        rows.withColumn(BUCKET, bucket).hint("rebalance", F.col(BUCKET)).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.path}/data/{entry}/{table}")
         return [n.split("=")[1] for n in self.names(f"data/{entry}/{table}") if n.startswith(f"{BUCKET}=")]
 
     def paths(self, state: dict, table: str, buckets: list[str] | None = None) -> list[str]:
