@@ -1,7 +1,8 @@
 """Sources over captured responses and configured lists (SRC1 to SRC4, SRC9 to SRC13, JON1, JON9, PRJ6, PRJ7).
 
-A capture is a table (adapter, query, status, failure, body) of what each source answered: `body` is its JSON. Readers
-never raise: a failed call is a row with an error state, and a call is a row whether it brought records or not.
+A capture is a table (adapter, query, status, failure, body) of what each source answered, one row per adapter and query: `body`
+is its JSON. `adapters.calls` and `adapters.record` make one. Readers never raise: a failed call is a row with an error
+state, and a call is a row whether it brought records or not.
 """
 
 from __future__ import annotations
@@ -11,14 +12,13 @@ from pyspark.sql import functions as F
 
 from admitflow.operators.fulltext import FullTextIndex
 from admitflow.sources import projections as P
+from admitflow.sources.adapters import SOURCES, SourceAdapter
 from admitflow.sources.local import search as local_search
 
 #: The default sources in their order, and the harvested endpoints' categories with their numbers of journals.
 DEFAULT_SOURCES = ("OPENALEX", "CROSSREF", "PUBMED", "THAIJO")
 ENDPOINTS = {"sc": 1, "li": 5, "ph": 5, "he": 5, "so": 20}
 ENDPOINT_URL = "https://%s.tci-thaijo.org/index.php/index/oai"
-#: Where each source's answer holds its records.
-RECORDS = {"OPENALEX": "$.results", "CROSSREF": "$.message.items", "PUBMED": "$.result"}
 
 
 def default_sources(spark: SparkSession) -> DataFrame:
@@ -32,55 +32,47 @@ def endpoints(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(codes, "code string").withColumn("url", F.format_string(ENDPOINT_URL, "code"))
 
 
-def _items(adapter: str):
-    """The records of a body as an array of JSON texts, null if the field is missing."""
-    field = F.get_json_object("body", RECORDS[adapter])
-    if adapter == "PUBMED":  # an object by uid, beside the list of uids
-        entries = F.map_entries(F.map_filter(F.from_json(field, "map<string, string>"), lambda k, _: k != "uids"))
-        return F.transform(entries, lambda e: e["value"])
-    return F.from_json(field, "array<string>")
-
-
 #: What is said of a source that has neither a capture's reader nor an index.
 NOT_CONNECTED = "this source isn't connected: nothing was asked"
 
 
-def search(capture: DataFrame, wanted: DataFrame, injected: DataFrame | None = None, index: FullTextIndex | None = None, as_of: float = 0.0) -> tuple[DataFrame, DataFrame]:
+def search(capture: DataFrame, wanted: DataFrame, injected: DataFrame | None = None, index: FullTextIndex | None = None, as_of: float = 0.0, sources: dict[str, SourceAdapter] | None = None) -> tuple[DataFrame, DataFrame]:
     """(calls, candidates) for wanted (query_id, query, adapter) rows.
 
-    calls: query_id, query, adapter, outcome (HIT or a state) and note. `injected` (adapter, query, state) forces failures for
+    calls: query_id, query, adapter, outcome (HIT or a state) and note. Candidates have `nth`, their place in the answer, and
+    `raw`, their record. `sources` are the readers of captured answers by name, own ones among them. `injected` (adapter, query, state) forces failures for
     exact query texts; it never makes a record (SRC12). A query that the capture doesn't hold timed out. THAIJO is
     answered by the kept index, if there is one, as of the time given; other sources are NOT_CONNECTED.
     """
-    local = index is not None
-    others = wanted.filter(~F.col("adapter").isin(*RECORDS, *(["THAIJO"] if local else [])))
-    calls, candidates = _captured(capture, wanted.filter(F.col("adapter").isin(*RECORDS)), injected)
+    local, known = index is not None, sources or SOURCES
+    others = wanted.filter(~F.col("adapter").isin(*known, *(["THAIJO"] if local else [])))
+    calls, candidates = _captured(capture, wanted.filter(F.col("adapter").isin(*known)), injected, known)
     calls = calls.unionByName(others.select("query_id", "query", "adapter", F.lit("NOT_CONNECTED").alias("outcome"), F.lit(NOT_CONNECTED).alias("note")))
     if local:
         asked = wanted.filter("adapter = 'THAIJO'")
         forced = injected.filter("adapter = 'THAIJO'").select("query", "state") if injected is not None else asked.select("query", F.lit(None).cast("string").alias("state")).limit(0)
         own, found = local_search(index, asked.join(forced, "query", "left_anti"), as_of)
         failed = asked.join(forced, "query").select("query_id", "query", "adapter", F.col("state").alias("outcome"), F.lit(None).cast("string").alias("note"))
-        calls, candidates = calls.unionByName(own.drop("evidence")).unionByName(failed), candidates.unionByName(found.drop("nth"))
+        calls, candidates = calls.unionByName(own.drop("evidence")).unionByName(failed), candidates.unionByName(found)
     return calls, candidates
 
 
-def _captured(capture: DataFrame, wanted: DataFrame, injected: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    met = wanted.join(capture, ["adapter", "query"], "left")
+def _captured(capture: DataFrame, wanted: DataFrame, injected: DataFrame | None, known: dict[str, SourceAdapter]) -> tuple[DataFrame, DataFrame]:
+    met = wanted.join(capture.select("adapter", "query", "status", "failure", "body"), ["adapter", "query"], "left")
     if injected is not None:
         met = met.join(injected.select("adapter", "query", F.col("state").alias("forced")), ["adapter", "query"], "left")
     else:
         met = met.withColumn("forced", F.lit(None).cast("string"))
-    items = F.coalesce(*[F.when(F.col("adapter") == a, _items(a)) for a in RECORDS])
+    items = F.coalesce(*[F.when(F.col("adapter") == name, source.items("body")) for name, source in known.items()])
     met = met.withColumn("items", F.when(F.col("status") == 200, items))
     body = F.when(F.try_parse_json("body").isNull(), "bad_json").when(F.col("items").isNull(), "missing_field").when(F.size("items") == 0, "empty")
     absent = F.col("status").isNull() & F.col("failure").isNull()
     state = F.when(absent, "TIMEOUT").otherwise(P.http_state(F.col("status"), F.coalesce("failure", F.lit("")), F.coalesce(body, F.lit(""))))
     met = met.withColumn("state", F.coalesce("forced", state))
-    raw = met.filter("state is null").select("query_id", "query", "adapter", F.explode("items").alias("raw"))
+    raw = met.filter("state is null").select("query_id", "query", "adapter", F.posexplode("items").alias("nth", "raw"))
     shaped = None
-    for adapter, project in (("OPENALEX", P.openalex), ("CROSSREF", P.crossref), ("PUBMED", P.pubmed)):
-        own = project(raw.filter(F.col("adapter") == adapter), keep=("query_id", "query"))
+    for name, source in known.items():
+        own = source.candidates(raw.filter(F.col("adapter") == name), ("query_id", "query", "nth", "raw"))
         shaped = own if shaped is None else shaped.unionByName(own)
     # answers whose records all lack an id are parser errors
     some = shaped.select("query_id", "query", F.col("source_adapter").alias("adapter"), F.lit(True).alias("some")).distinct()

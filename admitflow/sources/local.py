@@ -45,7 +45,7 @@ def search(index: FullTextIndex, wanted: DataFrame, as_of: float, limit: int = L
     found = index.search(asked, "query_id", "query", limit).withColumnRenamed("rank", "nth")
     raws = index.live().select(*KEYS, "raw")
     hits = found.join(raws, list(KEYS)).join(asked, "query_id")
-    candidates = P.dublin_core(hits, keep=("query_id", "query", "nth"))
+    candidates = P.dublin_core(hits, keep=("query_id", "query", "nth", "raw"))
     calls = asked.join(found.select("query_id").distinct().withColumn("hit", F.lit(True)), "query_id", "left")
     outcome = F.when(F.col("hit"), "HIT").otherwise("NOT_FOUND")
     return calls.select("query_id", "query", F.lit("THAIJO").alias("adapter"), outcome.alias("outcome"), F.lit(fresh).alias("evidence"), F.when(F.col("hit").isNull(), NOTES[fresh]).alias("note")), candidates
