@@ -60,9 +60,13 @@ class Sources(NamedTuple):
 
 
 def _asked(wanted: DataFrame, sources: Sources) -> tuple[DataFrame, DataFrame]:
-    """(calls, hits): hits have `ord` (query_id, priority, nth, query), unique and in the order of arrival."""
+    """(calls, hits): hits have `ord` (query_id, priority, nth, query), unique and in the order of arrival.
+
+    raw_metadata is a record's digest: gates ask whether there is a record, and the record itself stays in the capture.
+    """
     calls, found = captured.search(sources.capture, wanted.drop("priority"), sources.injected, sources.index, sources.as_of, sources.adapters)
-    found = found.withColumnsRenamed({"source_adapter": "adapter", "source_record_id": "record_id", "raw": "raw_metadata"})
+    found = found.withColumnsRenamed({"source_adapter": "adapter", "source_record_id": "record_id"})
+    found = found.withColumn("raw_metadata", F.when(F.trim("raw") != "", F.md5("raw"))).drop("raw")
     hits = found.join(wanted.select("query_id", "query", "adapter", "priority"), ["query_id", "query", "adapter"])
     hits = hits.withColumn("ord", F.struct("query_id", "priority", "nth", "query")).drop("priority", "nth")
     return materialise(calls, "calls"), materialise(hits, "hits")

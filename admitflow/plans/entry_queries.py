@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from admitflow.plans import entries
-from admitflow.plans.shared import materialise, read_spread
+from admitflow.plans.shared import read_spread
 from admitflow.sources import captured
 from admitflow.sources.adapters import SOURCES
 
@@ -46,7 +46,7 @@ def _capture(spark: SparkSession, sf_dir: str) -> DataFrame:
     passages = F.element_at(F.array(*[F.lit(',"abstract_inverted_index":' + _inverted(p)) for p in PASSAGES]), (F.col("doc_id") % 3 + 1).cast("int"))
     made = docs.select("doc_id", F.concat(F.lit("https://doi.org/10.5555/"), "doc_id").alias("query"), F.substr(title, F.lit(6), F.length(title) - 6).alias("t"), passages.alias("abstract"))
     made.createOrReplaceTempView("d")
-    return materialise(spark.sql(_ANSWERS), "answers")
+    return spark.sql(_ANSWERS)
 
 
 def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,8 +52,8 @@ class SourceAdapter:
 
     name = ""
     url = ""
-    #: JSON path of the array of records in an answer.
-    records = "$"
+    #: JSON paths of the array of records in an answer, and of a record's id.
+    records, record_id = "$", "$.id"
 
     def __init__(self, size: int = SIZE, timeout: float = TIMEOUT, extra: dict | None = None):
         self.size, self.timeout, self.extra = size, timeout, extra or {}
@@ -85,7 +85,7 @@ class OpenAlex(SourceAdapter):
 
 
 class Crossref(SourceAdapter):
-    name, url, records = "CROSSREF", "https://api.crossref.org/works", "$.message.items"
+    name, url, records, record_id = "CROSSREF", "https://api.crossref.org/works", "$.message.items", "$.DOI"
 
     def parameters(self, query: str) -> dict:
         return {"query": query, "rows": self.size}
@@ -97,7 +97,7 @@ class Crossref(SourceAdapter):
 class PubMed(SourceAdapter):
     """Two requests: a search that lists ids, then their summaries. The first one's answer stands if it has none."""
 
-    name, url = "PUBMED", "https://eutils.ncbi.nlm.nih.gov/entrez/eutils/esearch.fcgi"
+    name, url, record_id = "PUBMED", "https://eutils.ncbi.nlm.nih.gov/entrez/eutils/esearch.fcgi", "$.uid"
     summaries = "https://eutils.ncbi.nlm.nih.gov/entrez/eutils/esummary.fcgi"
 
     def parameters(self, query: str) -> dict:

@@ -57,28 +57,35 @@ def search(capture: DataFrame, wanted: DataFrame, injected: DataFrame | None = N
     return calls, candidates
 
 
+def read_answers(capture: DataFrame, sources: dict[str, SourceAdapter] | None = None) -> DataFrame:
+    """(adapter, query, state, items) of every answer of the known sources: an error state, or null and its records as JSON texts.
+
+    Answers whose records all lack an id are parser errors.
+    """
+    known = sources or SOURCES
+    own = capture.filter(F.col("adapter").isin(*known))
+    by_source = lambda make: F.coalesce(*[F.when(F.col("adapter") == name, make(source)) for name, source in known.items()])
+    own = own.withColumn("items", F.when(F.col("status") == 200, by_source(lambda source: source.items("body"))))
+    some = by_source(lambda source: F.exists("items", lambda r: F.coalesce(F.trim(F.get_json_object(r, source.record_id)) != "", F.lit(False))))
+    body = F.when(F.try_parse_json("body").isNull(), "bad_json").when(F.col("items").isNull(), "missing_field").when(F.size("items") == 0, "empty").when(~some, "no_id")
+    state = F.when(F.col("status").isNull() & F.col("failure").isNull(), "TIMEOUT").otherwise(P.http_state(F.col("status"), F.coalesce("failure", F.lit("")), F.coalesce(body, F.lit(""))))
+    return own.withColumn("state", state).select("adapter", "query", "state", F.when(F.col("state").isNull(), F.col("items")).alias("items"))
+
+
 def _captured(capture: DataFrame, wanted: DataFrame, injected: DataFrame | None, known: dict[str, SourceAdapter]) -> tuple[DataFrame, DataFrame]:
-    met = wanted.join(capture.select("adapter", "query", "status", "failure", "body"), ["adapter", "query"], "left")
-    if injected is not None:
-        met = met.join(injected.select("adapter", "query", F.col("state").alias("forced")), ["adapter", "query"], "left")
-    else:
-        met = met.withColumn("forced", F.lit(None).cast("string"))
-    items = F.coalesce(*[F.when(F.col("adapter") == name, source.items("body")) for name, source in known.items()])
-    met = met.withColumn("items", F.when(F.col("status") == 200, items))
-    body = F.when(F.try_parse_json("body").isNull(), "bad_json").when(F.col("items").isNull(), "missing_field").when(F.size("items") == 0, "empty")
-    absent = F.col("status").isNull() & F.col("failure").isNull()
-    state = F.when(absent, "TIMEOUT").otherwise(P.http_state(F.col("status"), F.coalesce("failure", F.lit("")), F.coalesce(body, F.lit(""))))
-    met = met.withColumn("state", F.coalesce("forced", state))
-    raw = met.filter("state is null").select("query_id", "query", "adapter", F.posexplode("items").alias("nth", "raw"))
+    """Answers are read before they meet what was asked, so calls shuffle states alone, and candidates the records of sound answers."""
+    read, on = read_answers(capture, known), ["adapter", "query"]
+    forced = injected.select(*on, F.col("state").alias("forced")) if injected is not None else None
+    calls = wanted.join(read.select(*on, F.coalesce("state", F.lit("HIT")).alias("told")), on, "left")
+    calls = calls.join(forced, on, "left") if forced is not None else calls.withColumn("forced", F.lit(None).cast("string"))
+    outcome = F.coalesce("forced", "told", F.lit("TIMEOUT"))
+    note = F.when(outcome == "NOT_FOUND", "nothing found in this source; that is no proof that the work doesn't exist")
+    sound = read.filter("state is null")
+    raw = wanted.join(sound if forced is None else sound.join(forced, on, "left_anti"), on).select("query_id", "query", "adapter", F.posexplode("items").alias("nth", "raw"))
     shaped = None
     for name, source in known.items():
         own = source.candidates(raw.filter(F.col("adapter") == name), ("query_id", "query", "nth", "raw"))
         shaped = own if shaped is None else shaped.unionByName(own)
-    # answers whose records all lack an id are parser errors
-    some = shaped.select("query_id", "query", F.col("source_adapter").alias("adapter"), F.lit(True).alias("some")).distinct()
-    calls = met.select("query_id", "query", "adapter", "state").join(some, ["query_id", "query", "adapter"], "left")
-    outcome = F.coalesce("state", F.when(F.col("some"), "HIT"), F.lit("PARSER_ERROR"))
-    note = F.when(outcome == "NOT_FOUND", "nothing found in this source; that is no proof that the work doesn't exist")
     return calls.select("query_id", "query", "adapter", outcome.alias("outcome"), note.alias("note")), shaped
 
 
