@@ -80,9 +80,9 @@ def members(cand: DataFrame, ord_: str = "ord", scope: str | None = None) -> Dat
 
     The first member is the one whose ord names the work. Works of very many members are spread.
     """
-    placed = materialise(whole(resolve(cand, ord_, scope)).withColumnRenamed(ord_, "ord"), "placed")
-    slim = {"keys": _keys(), "title_key": F.expr(f"coalesce({rules.title_key(SPARK, 'even_title')}, '')"), "who": F.lower(F.trim("author"))}
-    placed = placed.withColumns(slim)
+    title_key = F.md5(F.expr(f"coalesce({rules.title_key(SPARK, 'even_title')}, '')"))  # compared only, so a digest will do
+    placed = whole(resolve(cand, ord_, scope)).withColumnRenamed(ord_, "ord").withColumns({"keys": _keys(), "title_key": title_key, "who": F.lower(F.trim("author"))})
+    placed = materialise(placed.drop("even_title", "even_author"), "placed")
     first = placed.filter("ord = work").select("work", *[F.col(c).alias(f"f_{c}") for c in ("adapter", "record_id", "title", "title_key", "year", "author", "who", "keys")])
     counted = placed.groupBy("work").agg(F.count(F.lit(1)).alias("n_members"))
     return skew_lookup(placed, materialise(first.join(counted, "work"), "first-members"), "work", "n_members", "ord")
