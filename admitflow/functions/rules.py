@@ -160,10 +160,10 @@ def is_thai_language(d: Dialect, text: str) -> str:
     return f"({letters} > 0 AND {thai} * 1.0 / {letters} >= {V.THAI_SHARE})"
 
 
-def relevance_tags(d: Dialect, text: str, venue: str) -> str:
-    """CLS1: tags of a record; `venue` holds its lower-cased url, host and publisher names."""
+def relevance_tags(d: Dialect, text: str, venue: str, home: str = "FALSE") -> str:
+    """CLS1: tags of a record; `venue` holds its lower-cased url, host and publisher names, `home` whether an institution is Thai."""
     thai, about = is_thai_language(d, text), _contains(d, f"lower({text})", V.THAILAND_KEYWORDS)
-    here = _contains(d, venue, V.THAI_HOSTS + V.THAI_PUBLISHERS)
+    here = f"({home} OR {_contains(d, venue, V.THAI_HOSTS + V.THAI_PUBLISHERS)})"
     tags = [(thai, "THAI_LANGUAGE"), (here, "PUBLISHED_IN_THAILAND"), (about, "ABOUT_THAILAND"), (f"{about} AND NOT {thai} AND NOT {here}", "FOREIGN_ABOUT_THAILAND")]
     listed = ", ".join(f"CASE WHEN {test} THEN '{tag}' END" for test, tag in tags)
     return d.filter(f"array({listed})" if d.spark else f"[{listed}]", "t", "t IS NOT NULL")
