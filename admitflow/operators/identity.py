@@ -26,7 +26,7 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
-def _even(name: str) -> Column:
+def even(name: str) -> Column:
     """A text in NFKC; only texts beyond ASCII go to Python."""
     odd = F.col(name).rlike(r"[^\x00-\x7F]")
     return F.coalesce(nfkc(F.when(odd, F.col(name))), F.col(name))
@@ -40,7 +40,7 @@ def whole(cand: DataFrame) -> DataFrame:
         cand = cand.withColumn("authors", F.when(F.col("author").isNotNull(), F.array("author")))
     if "author" not in cand.columns:
         cand = cand.withColumn("author", F.get("authors", F.lit(0)))
-    return cand if "even_title" in cand.columns else cand.withColumns({"even_title": _even("title"), "even_author": _even("author")})
+    return cand if "even_title" in cand.columns else cand.withColumns({"even_title": even("title"), "even_author": even("author")})
 
 
 def _keys() -> Column:

@@ -13,6 +13,8 @@ from pyspark.sql.types import DoubleType
 from admitflow.functions import rules
 from admitflow.functions import vocab as V
 from admitflow.functions.dialect import SPARK
+from admitflow.operators import identity
+from admitflow.plans.shared import free_name
 
 #: Least title overlap, least similarity, least length of an embedded identifier.
 LEAST_OVERLAP, LEAST_RATIO, LEAST_EMBEDDED = 0.5, 0.55, 6
@@ -31,10 +33,30 @@ def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def similarity(a: str, b: str) -> Column:
-    """TXT9, for ranking only: the ratio of two title columns, normalised, 0 if either is empty."""
-    ready = lambda x: F.expr(rules.title_key(SPARK, x))
-    return F.coalesce(seq_ratio(ready(a), ready(b)), F.lit(0.0))
+def ratio_bound(a: Column, b: Column) -> Column:
+    """At least the ratio of two strings: matching blocks can't share more of a character than the rarer side has; null where one is null.
+
+    A distinct character costs one pass over each string, all in the JVM; two empty strings have ratio 1.
+    """
+    held = lambda text, c: F.length(text) - F.length(F.replace(text, c, F.lit("")))
+    common = F.aggregate(F.array_distinct(F.split(a, "")), F.lit(0), lambda n, c: n + F.when(c == "", 0).otherwise(F.least(held(a, c), held(b, c))))
+    both = F.length(a) + F.length(b)
+    return F.when(both == 0, 1.0).otherwise(2.0 * common / both)
+
+
+def with_similarity(rows: DataFrame, a: str, b: str, into: str = "similarity") -> DataFrame:
+    """TXT9, for ranking only: rows with the ratio of two titles in normal form, 0 if either is null or empty.
+
+    Titles that are equal, or share no character, never reach Python.
+    """
+    left, right = free_name("_left", rows.columns), free_name("_right", rows.columns)
+    ready = rows.withColumns({left: identity.even(a), right: identity.even(b)})
+    ready = ready.withColumns({c: F.expr(rules.title_key(SPARK, c)) for c in (left, right)})
+    same = F.when(F.col(left) == F.col(right), 1.0).when(ratio_bound(F.col(left), F.col(right)) == 0, 0.0)
+    known = free_name("_known", ready.columns)
+    ready = ready.withColumn(known, same)
+    open_ = lambda c: F.when(F.col(known).isNull(), F.col(c))
+    return ready.withColumn(into, F.coalesce(known, seq_ratio(open_(left), open_(right)), F.lit(0.0))).drop(left, right, known)
 
 
 def gate_keywords(text: str) -> Column:
@@ -68,7 +90,8 @@ def names_author(query: Column, authors: Column) -> Column:
 def with_identity(works: DataFrame, query: str) -> DataFrame:
     """GAT6: works with matched_field, shared_tokens, title_ratio, author_match, seq and g6.
 
-    The similarity is computed in Arrow batches, for the rows that nothing else decides; a blank query passes nothing.
+    The similarity is computed in Arrow batches, for the rows that nothing else decides and whose characters allow
+    LEAST_RATIO; `seq` is null for all others. A blank query passes nothing.
     """
     asked = works.withColumn("_q", F.expr(rules.gate_id(SPARK, f"`{query}`")))
     fields = [("doi", "p_doi"), ("pmid", "p_pmid"), ("pmcid", "p_pmcid"), ("source_record_id", "record_id")]
@@ -83,8 +106,13 @@ def with_identity(works: DataFrame, query: str) -> DataFrame:
     decided = F.when(blank, False).when(F.col("matched_field").isNotNull(), True).when(~enough, False).when(passed, True)
     asked = asked.withColumn("g6_decided", decided)
     joined = lambda c: F.when(F.col("g6_decided").isNull(), F.array_join(F.array_sort(c), " "))
-    asked = asked.withColumn("seq", seq_ratio(joined("_k"), joined("_t")))
-    return asked.withColumn("g6", F.coalesce("g6_decided", F.col("seq") >= LEAST_RATIO)).drop("_q", "_k", "_t")
+    asked = asked.withColumns({"_k": joined("_k"), "_t": joined("_t")})
+    # rounding may differ by an ulp from the ratio's own division, so only what lies clearly below is ruled out
+    able = ratio_bound(F.col("_k"), F.col("_t")) > LEAST_RATIO - 1e-9
+    asked = asked.withColumn("_able", F.col("g6_decided").isNull() & able)
+    only = lambda c: F.when(F.col("_able"), F.col(c))
+    asked = asked.withColumn("seq", seq_ratio(only("_k"), only("_t")))
+    return asked.withColumn("g6", F.coalesce("g6_decided", F.col("seq") >= LEAST_RATIO, F.lit(False))).drop("_q", "_k", "_t", "_able")
 
 
 def with_relevance(works: DataFrame, context: str) -> DataFrame:

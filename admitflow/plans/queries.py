@@ -145,11 +145,20 @@ def plan_queries(d: Dialect) -> str:
       SELECT id, side, q AS query, CAST(rank AS INT) AS rank FROM r WHERE rank <= {V.MAX_QUERIES}"""
 
 
+#: The oracle's own statement of the decision: what admits or rejects, and HOLD for all else.
+_DECISION = """CASE WHEN state IN ('VERIFIED', 'CONTENT_FETCHED') AND kind IN ('RESULT', 'CONCLUSION') AND relation IN ('SUPPORTS', 'CHALLENGES')
+    THEN CASE WHEN relation = intended THEN 'ADMIT' ELSE 'REJECT' END WHEN state = 'REJECTED' AND (g5 OR NOT g6) THEN 'REJECT' ELSE 'HOLD' END"""
+
+
 def admission_decision(d: Dialect) -> str:
+    """GAT11: each document as a work in one of the states, with a passage of one of the kinds, in every relation and gate."""
     one = lambda name, values: _values(d, name, [(v,) for v in values]).replace(" v(", f" {name}_v(")
+    pick = lambda values, x: "CASE " + x + " " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + " END"
     flags = _values(d, "g6, g5", [(True, True), (True, False), (False, True), (False, False)]).replace(" v(", " flag_v(")
-    return f"""SELECT state, relation, kind, intended, g6, g5, {R.admission(d, 'state', 'relation', 'intended', 'kind', 'g6', 'g5')} AS decision
-      FROM {one('state', V.STATES)} CROSS JOIN {one('relation', V.RELATIONS)} CROSS JOIN {one('kind', V.STATEMENT_TYPES)} CROSS JOIN {one('intended', ['SUPPORTS', 'CHALLENGES'])} CROSS JOIN {flags}"""
+    works = f"""(SELECT doc_id, {pick(V.STATES, f'doc_id % {len(V.STATES)}')} AS state, {pick(V.STATEMENT_TYPES, f'doc_id % {len(V.STATEMENT_TYPES)}')} AS kind FROM documents WHERE doc_id IS NOT NULL) w"""
+    decision = R.admission(d, "state", "relation", "intended", "kind", "g6", "g5") if d.spark else _DECISION
+    return f"""SELECT doc_id, state, relation, kind, intended, g6, g5, {decision} AS decision
+      FROM {works} CROSS JOIN {one('relation', V.RELATIONS)} CROSS JOIN {one('intended', ['SUPPORTS', 'CHALLENGES'])} CROSS JOIN {flags}"""
 
 
 def http_state(d: Dialect) -> str:

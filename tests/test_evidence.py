@@ -1,11 +1,14 @@
 """The evidence check with reasons in order, evidence behind ids, and relevance tags, on rows labelled by hand."""
 
+import random
+from difflib import SequenceMatcher
+
 import pytest
 from pyspark.sql import functions as F
 
 from admitflow.functions import rules, vocab
 from admitflow.functions.dialect import SPARK
-from admitflow.operators import evidence, relevance
+from admitflow.operators import evidence, relevance, verification
 
 CLAIM = "screen time increases anxiety among students"
 FOUND = f"We found that {CLAIM}."
@@ -119,3 +122,30 @@ def test_admission_table(spark):
     table = spark.createDataFrame(rows, "s string, r string, k string, i string, a boolean, b boolean")
     told = table.withColumn("d", F.expr(rules.admission(SPARK, "s", "r", "i", "k", "a", "b"))).collect()
     assert [tuple(x) for x in told if x.d != plain(*x[:6])] == []
+
+
+def test_bound_is_never_below_the_ratio(spark):
+    dice = random.Random(5)
+    word = lambda: "".join(dice.choice("ab cé\u0e01\U0001f600") for _ in range(dice.randrange(9)))
+    rows = [(word(), word()) for _ in range(400)] + [("", ""), ("abc", "abc"), ("", "a")]
+    told = spark.createDataFrame(rows, "a string, b string").withColumn("bound", verification.ratio_bound(F.col("a"), F.col("b"))).collect()
+    assert all(r.bound > SequenceMatcher(None, r.a, r.b).ratio() - 1e-9 for r in told)
+    assert spark.createDataFrame([(None, "a")], "a string, b string").select(verification.ratio_bound(F.col("a"), F.col("b"))).first()[0] is None
+
+
+def test_few_rows_reach_python(spark):
+    """Rows that identifiers, overlaps or their characters decide carry no similarity."""
+    from admitflow.operators import identity
+
+    none = [F.lit(None).cast("string").alias(f"p_{c}") for c in identity.IDENTIFIERS]
+    cases = [("Commons", "zebra fjord", False), ("Rules games common pool", "institutional rules games", True), ("water basins valley", "tree ecology forests, Lee", False), ("x", "10.1234/abcdef", False), ("Evolution of collective action", "evolutionary collectives actions, Lee", True)]
+    table = spark.createDataFrame([(i, t, q, ["Lee"], "10.1234/abcdef") for i, (t, q, _) in enumerate(cases)], "i int, title string, citation string, authors array<string>, record_id string").select("*", *none)
+    rows = verification.with_identity(table, "citation").orderBy("i").collect()
+    assert [r.seq is not None for r in rows] == [False, False, False, False, True]
+
+
+def test_similarity(spark):
+    rows = [("\ufb01nance: A", "Finance a", 1.0), ("abc", "xyz", 0.0), (None, "a", 0.0), ("!", "!", 0.0), ("abcd", "bcde", 0.75), ("", "", 0.0)]
+    told = verification.with_similarity(spark.createDataFrame([(*r, 1) for r in rows], "a string, b string, want double, _left int"), "a", "b")
+    assert told.columns == ["a", "b", "want", "_left", "similarity"]
+    assert all(r.similarity == r.want for r in told.collect())
