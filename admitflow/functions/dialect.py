@@ -68,6 +68,18 @@ class Dialect:
         """1 to the length of x; empty for an empty list."""
         return f"slice(sequence(0, size({x})), 2, size({x}))" if self.spark else f"range(1, len({x}) + 1)"
 
+    def around(self, spots: str, n: int) -> str:
+        """The distinct numbers within n of one of the spots."""
+        if self.spark:
+            return f"array_distinct(flatten(transform({spots}, s -> sequence(s - {n}, s + {n}))))"
+        return f"list_distinct(flatten(list_transform({spots}, lambda s: range(s - {n}, s + {n + 1}))))"
+
+    def record(self, **fields: str) -> str:
+        """A struct of named values."""
+        if self.spark:
+            return "named_struct(" + ", ".join(f"'{name}', {value}" for name, value in fields.items()) + ")"
+        return "{" + ", ".join(f"'{name}': {value}" for name, value in fields.items()) + "}"
+
     def part(self, x: str, start: str, count: int) -> str:
         return f"slice({x}, {start}, {count})" if self.spark else f"list_slice({x}, {start}, {start} + {count - 1})"
 

@@ -23,7 +23,7 @@ def tokens(d: Dialect, text: str) -> str:
 
 def keywords(d: Dialect, toks: str, stop: list[str] = V.GATE_STOPWORDS) -> str:
     """TXT3 and TXT4: distinct tokens of more than two characters that aren't stopwords."""
-    return d.distinct(d.filter(toks, "k", f"length(k) > 2 AND NOT {d.has(d.list(stop), 'k')}"))
+    return d.filter(d.distinct(toks), "k", f"length(k) > 2 AND NOT {d.has(d.list(stop), 'k')}")
 
 
 def few_tokens(d: Dialect, text: str) -> str:
@@ -36,13 +36,13 @@ def few_tokens(d: Dialect, text: str) -> str:
     return f"CASE WHEN {d.matches(text, '[\\x{0E00}-\\x{0E7F}]')} THEN {count} ELSE NOT {enough} END"
 
 
-def phrase_at(d: Dialect, toks: str, phrases: list[str]) -> str:
-    """TXT15: positions at which any of the phrases starts."""
+def phrase_at(d: Dialect, toks: str, phrases: list[str], among: str | None = None) -> str:
+    """TXT15: positions at which any of the phrases starts; of those in `among`, if given."""
     tests = []
     for n in sorted({len(p.split()) for p in phrases}):
         own = d.list([p for p in phrases if len(p.split()) == n])
         tests.append(d.has(own, d.item(toks, "spot") if n == 1 else d.join(d.part(toks, "spot", n), " ")))
-    return d.filter(d.positions(toks), "spot", "(" + " OR ".join(tests) + ")")
+    return d.filter(among or d.positions(toks), "spot", "(" + " OR ".join(tests) + ")")
 
 
 def surface_forms(words: list[str]) -> list[str]:
@@ -64,44 +64,44 @@ def _shared(d: Dialect, claim: str, passage: str) -> str:
 
 
 def _told(d: Dialect, claim: str, passage: str, sides: list[tuple[list[str], list[str]]]) -> list[str]:
-    """Places in passage of the second words of a side, for each side of which the claim has one of the first words."""
-    empty = d.filter(d.positions(passage), "spot", "spot < 0")
+    """Close places in passage of the second words of a side, for each side of which the claim has one of the first words."""
+    empty = d.filter("close", "spot", "spot < 0")
     by_other: dict[tuple[str, ...], list[str]] = {}
     for mine, other in sides:
         by_other.setdefault(tuple(other), []).extend(mine)
-    return [f"CASE WHEN {d.size(phrase_at(d, claim, mine))} > 0 THEN {phrase_at(d, passage, list(other))} ELSE {empty} END" for other, mine in by_other.items()]
+    return [f"CASE WHEN {d.size(phrase_at(d, claim, mine))} > 0 THEN {phrase_at(d, passage, list(other), 'close')} ELSE {empty} END" for other, mine in by_other.items()]
 
 
 def _reversals(d: Dialect, claim: str, passage: str) -> str:
-    """Places of negations and of words opposite to the claim's (CLS8)."""
+    """Close places of negations and of words opposite to the claim's (CLS8)."""
     pairs = [*V.DIRECTIONAL_PAIRS, *[(b, a) for a, b in V.DIRECTIONAL_PAIRS]]
     up, down = surface_forms(V.POSITIVE_WORDS) + V.POSITIVE_PHRASES, surface_forms(V.NEGATIVE_WORDS) + V.NEGATIVE_PHRASES
     sides = [([mine], [other]) for mine, other in pairs] + [(up, down), (down, up)]
-    return d.concat(phrase_at(d, passage, V.NEGATION_TOKENS + V.NEGATION_PHRASES), *_told(d, claim, passage, sides))
+    return d.concat(phrase_at(d, passage, V.NEGATION_TOKENS + V.NEGATION_PHRASES, "close"), *_told(d, claim, passage, sides))
 
 
 def _echoes(d: Dialect, claim: str, passage: str) -> str:
-    """Places of the claim's own directional words and of others of their class."""
+    """Close places of the claim's own directional words and of others of their class."""
     up, down = surface_forms(V.POSITIVE_WORDS) + V.POSITIVE_PHRASES, surface_forms(V.NEGATIVE_WORDS) + V.NEGATIVE_PHRASES
     sides = [([x], [x]) for pair in V.DIRECTIONAL_PAIRS for x in pair] + [(up, up), (down, down)]
     return d.concat(*_told(d, claim, passage, sides))
 
 
-def _near(d: Dialect, at: str, spots: str) -> str:
-    return d.any(at, "r", d.any(spots, "s", f"abs(r - s) <= {V.NEAR}"))
-
-
 def _with_shared(d: Dialect, claim: str, passage: str, body: str) -> str:
-    """body with `shared`, the common keywords, and `spots`, their places in passage, each found once."""
+    """body with `shared`, the common keywords, and `close`, the places in passage within NEAR of one of them, each found once.
+
+    Phrases are then looked for in close places alone, so a long passage that shares little costs little.
+    """
     spots = d.filter(d.positions(passage), "spot", d.has("shared", d.item(passage, "spot")))
-    return d.let("shared", _shared(d, claim, passage), d.let("spots", spots, body))
+    close = d.filter(d.around(spots, V.NEAR), "spot", f"spot >= 1 AND spot <= {d.size(passage)}")
+    return d.let("shared", _shared(d, claim, passage), d.let("close", close, body))
 
 
 def relation(d: Dialect, claim: str, passage: str) -> str:
     """CLS8 to CLS11 for two token arrays (columns): the relation of passage to claim."""
     body = f"""CASE WHEN {d.size(claim)} = 0 OR {d.size(passage)} < {V.MIN_PASSAGE_TOKENS} OR {d.size('shared')} = 0 THEN 'UNCLEAR'
-        WHEN {_near(d, _reversals(d, claim, passage), 'spots')} THEN 'CHALLENGES'
-        WHEN {_near(d, phrase_at(d, passage, V.SCOPE_PHRASES), 'spots')} THEN 'QUALIFIES'
+        WHEN {d.size(_reversals(d, claim, passage))} > 0 THEN 'CHALLENGES'
+        WHEN {d.size(phrase_at(d, passage, V.SCOPE_PHRASES, 'close'))} > 0 THEN 'QUALIFIES'
         WHEN {d.size('shared')} >= {V.MIN_SHARED} THEN 'SUPPORTS' ELSE 'CONTEXT_ONLY' END"""
     return _with_shared(d, claim, passage, body)
 
@@ -109,8 +109,8 @@ def relation(d: Dialect, claim: str, passage: str) -> str:
 def polarity(d: Dialect, claim: str, passage: str) -> str:
     """CLS7: what passage does with the claim's direction: NEGATIVE, POSITIVE or NEUTRAL."""
     body = f"""CASE WHEN {d.size(claim)} = 0 OR {d.size(passage)} < {V.MIN_PASSAGE_TOKENS} OR {d.size('shared')} = 0 THEN 'NEUTRAL'
-        WHEN {_near(d, _reversals(d, claim, passage), 'spots')} THEN 'NEGATIVE'
-        WHEN {d.size('shared')} >= {V.MIN_SHARED} OR {_near(d, _echoes(d, claim, passage), 'spots')} THEN 'POSITIVE' ELSE 'NEUTRAL' END"""
+        WHEN {d.size(_reversals(d, claim, passage))} > 0 THEN 'NEGATIVE'
+        WHEN {d.size('shared')} >= {V.MIN_SHARED} OR {d.size(_echoes(d, claim, passage))} > 0 THEN 'POSITIVE' ELSE 'NEUTRAL' END"""
     return _with_shared(d, claim, passage, body)
 
 
@@ -121,7 +121,9 @@ def subject(d: Dialect, toks: str) -> str:
 
 
 def _contains(d: Dialect, text: str, cues: list[str]) -> str:
-    return "(" + " OR ".join(d.contains(text, d.text(c)) for c in cues) + ")"
+    """Whether text holds one of the cues; cues that hold another one say nothing more, and text is evaluated once."""
+    least = [c for c in cues if not any(other != c and other in c for other in cues)]
+    return d.let("held", text, "(" + " OR ".join(d.contains("held", d.text(c)) for c in least) + ")")
 
 
 def _free_cue(d: Dialect, text: str, cues: list[str]) -> str:
@@ -162,11 +164,11 @@ def is_thai_language(d: Dialect, text: str) -> str:
 
 def relevance_tags(d: Dialect, text: str, venue: str, home: str = "FALSE") -> str:
     """CLS1: tags of a record; `venue` holds its lower-cased url, host and publisher names, `home` whether an institution is Thai."""
-    thai, about = is_thai_language(d, text), _contains(d, f"lower({text})", V.THAILAND_KEYWORDS)
     here = f"({home} OR {_contains(d, venue, V.THAI_HOSTS + V.THAI_PUBLISHERS)})"
-    tags = [(thai, "THAI_LANGUAGE"), (here, "PUBLISHED_IN_THAILAND"), (about, "ABOUT_THAILAND"), (f"{about} AND NOT {thai} AND NOT {here}", "FOREIGN_ABOUT_THAILAND")]
+    found = d.record(thai=is_thai_language(d, text), about=_contains(d, f"lower({text})", V.THAILAND_KEYWORDS), here=here)
+    tags = [("w.thai", "THAI_LANGUAGE"), ("w.here", "PUBLISHED_IN_THAILAND"), ("w.about", "ABOUT_THAILAND"), ("w.about AND NOT w.thai AND NOT w.here", "FOREIGN_ABOUT_THAILAND")]
     listed = ", ".join(f"CASE WHEN {test} THEN '{tag}' END" for test, tag in tags)
-    return d.filter(f"array({listed})" if d.spark else f"[{listed}]", "t", "t IS NOT NULL")
+    return d.let("w", found, d.filter(f"array({listed})" if d.spark else f"[{listed}]", "t", "t IS NOT NULL"))
 
 
 def domain(d: Dialect, text: str) -> str:
