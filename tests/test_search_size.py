@@ -18,6 +18,14 @@ def test_pairs_are_scored_where_their_document_lies(spark):
     assert len(by) == 2 and "(key" in by[1] and "(query_id" in by[0], by
 
 
+def test_hits_are_searched_once(spark, tmp_path):
+    spark.createDataFrame([(i, f"some words number {i} of a text", "src", "en", 10) for i in range(20)], "doc_id long, text string, source string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "words of number 3")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    hits = citation_queries._hits(spark, str(tmp_path))
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert hits.count() == 5 and "Join" not in plan and "Window" not in plan
+
+
 def test_an_index_is_made_in_its_row(spark):
     texts = ["b a  b a", "", None, "one", "one", "é b\nc é"]
     rows = spark.createDataFrame([(1, t) for t in texts], "doc_id long, text string").coalesce(1).select("text", projections.index_of_text("text").alias("index"))
