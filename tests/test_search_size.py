@@ -1,6 +1,6 @@
 """What a search and an index shuffle: texts once a pass, never pairs or postings; and odd rows in both."""
 
-from admitflow.operators import search
+from admitflow.operators import identity, search
 from admitflow.plans import citation_queries
 from admitflow.sources import projections
 
@@ -38,3 +38,14 @@ def test_an_index_is_made_in_its_row(spark):
 def test_repeated_and_null_texts_stay(spark, tmp_path):
     spark.createDataFrame([(1, "a b"), (1, "c"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert citation_queries.inverted_abstract(spark, str(tmp_path)).count() == 3
+
+
+def test_titles_of_works_are_joined_once(spark, monkeypatch):
+    """Members meet their first one without their texts."""
+    rows = [(1, "A", "1", "long title", "Lee", 2000, "10.1/a", "text"), (2, "B", "2", None, "Lee", 2000, "10.1/a", None), (3, "C", "3", "other", None, 2001, "10.1/a", None)]
+    cand = spark.createDataFrame(rows, "ord long, adapter string, record_id string, title string, author string, year int, doi string, abstract string")
+    seen, keep = {}, identity.skew_lookup
+    monkeypatch.setattr(identity, "skew_lookup", lambda left, right, *rest: seen.setdefault(rest[0], (left, right)) and keep(left, right, *rest))
+    got = identity.works(cand).first()
+    assert (got["work"], got["n_members"], got["conflicts"], got["title"], got["abstract"], got["g5"], got["g3"]) == (1, 3, "title,year", "long title", "text", True, False)
+    assert {r["f_title"] for r in seen["work"][1].collect()} == {""} and "abstract" not in seen["work"][0].columns
