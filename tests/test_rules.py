@@ -155,3 +155,18 @@ def test_harvested_pages_keep_doi_and_url(spark, prefix):
     cut = P.oai_records(spark.createDataFrame([(page,)], "xml string")).drop("xml")
     rows = P.dublin_core(cut.select(F.to_json(F.struct("*")).alias("raw"))).orderBy("source_record_id").collect()
     assert [(r["source_record_id"], r["title"], r["doi"], r["url"]) for r in rows] == [("oai:0", "T0", "10.4/w", "http://a/1"), ("oai:1", "T1", "10.5/v", None), ("oai:2", "T2", None, None)]
+
+
+def test_cues_are_looked_for_in_telling_parts_alone(spark, tmp_path):
+    """The type of a text, whatever is put before it, is that of its parts with a cue; the query finds these once a text."""
+    long = "plain words stand here and say little. " * 300
+    texts = [long, long + "whether it was! we found this. no more", "study found more. " + long, long + "according to them! in 1999. so", long + "it is unclear if this study found. the end", long + ". . we used rats", "a.b", "", None]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "id int, x string").selectExpr("*", R.telling_parts("x") + " told")
+    assert all(r.told is None if r.x is None else len(r.told) < 120 for r in rows.collect())
+    for cue in ("this", "we conclude", "whether", "x"):
+        kinds = rows.selectExpr("id", R.statement_type(SPARK, f"concat('{cue} ', told)", f"concat('{cue} ', x)"), R.statement_type(SPARK, f"concat('{cue} ', x)")).collect()
+        assert all(r[1] == r[2] for r in kinds)
+        if cue == "x":
+            assert [r[1] for r in kinds] == ["BACKGROUND", "RESULT", "BACKGROUND", "PRIOR_WORK", "BACKGROUND", "METHOD", "UNKNOWN", "UNKNOWN", "UNKNOWN"]
+        if cue == "this":
+            assert kinds[2][1] == "RESULT"  # found across the border
