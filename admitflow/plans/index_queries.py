@@ -16,7 +16,8 @@ from admitflow.sources.merge_store import MergeStore
 
 def local_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents are delivered twice, first by their titles alone, then whole; benchmark items search what is there then."""
-    docs = read_spread(spark, f"{sf_dir}/documents.parquet").select("doc_id", F.substring("text", 1, 80).alias("title"), F.col("text").alias("abstract"))
+    # the index deals documents by key before it reads their words, so they needn't be spread here
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.substring("text", 1, 80).alias("title"), F.col("text").alias("abstract"))
     index = FullTextIndex(spark, fresh_path(spark, "index"), {"doc_id": "bigint"}, ["title", "abstract"])
     index.upsert(docs.withColumn("abstract", F.lit(None).cast("string")), "harvest", 0)
     index.upsert(docs, "harvest", 1)

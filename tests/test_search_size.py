@@ -1,8 +1,8 @@
 """What a search and an index shuffle: texts once a pass, never pairs or postings; and odd rows in both."""
 
-from admitflow.operators import identity, search
+from admitflow.operators import fulltext, identity, search
 from admitflow.plans import citation_queries
-from admitflow.sources import projections
+from admitflow.sources import merge_store, projections
 
 
 def exchanges(df) -> list[str]:
@@ -49,3 +49,32 @@ def test_titles_of_works_are_joined_once(spark, monkeypatch):
     got = identity.works(cand).first()
     assert (got["work"], got["n_members"], got["conflicts"], got["title"], got["abstract"], got["g5"], got["g3"]) == (1, 3, "title,year", "long title", "text", True, False)
     assert {r["f_title"] for r in seen["work"][1].collect()} == {""} and "abstract" not in seen["work"][0].columns
+
+
+def test_a_kept_index_deals_texts_and_postings_once(spark, tmp_path, monkeypatch):
+    """An upsert shuffles texts for its documents and for its blocks, no postings; a search shuffles postings by document, no pairs."""
+    plans, write = {}, merge_store.Pieces.write
+    dealt = lambda df: [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange " in line]
+    monkeypatch.setattr(merge_store.Pieces, "write", lambda self, rows, entry, table, *a, **k: plans.update({table: dealt(rows)}) or write(self, rows, entry, table, *a, **k))
+    index = fulltext.FullTextIndex(spark, f"{tmp_path}/i", {"id": "bigint"}, ["level", "part"], {"more": "map<string, int>"}, ["id"], buckets=2)
+    rows = [(i, f"title {i}", f"words of text {i} of {i % 7}", {"n": i}) for i in range(300)]
+    index.upsert(spark.createDataFrame(rows, "id long, level string, part string, more map<string, int>"))
+    assert len(plans["docs"]) == 1 and len(plans["blocks"]) == 1, plans
+    found = index.search(spark.createDataFrame([(1, "title 5 of 6"), (2, "words 299")], "q long, text string"), "q", "text", 3)
+    by = exchanges(found)
+    assert len([x for x in by if "(doc" in x]) == 1 and len([x for x in by if "(query_id" in x]) == 1 and not [x for x in by if "query_id" in x and "doc" in x], by
+    want = search.top_k(spark.createDataFrame([(1, "title 5 of 6"), (2, "words 299")], "q long, text string"), index.live(), "q", "text", "id", ["level", "part"], 3)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and index.live().filter("more['n'] = id").count() == 300
+
+
+def test_spans_without_a_rare_word_stay_closed(spark, tmp_path, monkeypatch):
+    """A query of one rare and one frequent word reads the frequent one's postings where the rare one is; a large list gives the opening a part."""
+    monkeypatch.setattr(fulltext, "SPAN", 4)
+    index = fulltext.FullTextIndex(spark, f"{tmp_path}/i", {"id": "bigint"}, ["text"], buckets=2)
+    rows = [(i, f"the {'zebra' if i % 60 == 7 else 'horse'}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    index.upsert(docs)
+    asked, read = spark.createDataFrame([(1, "the zebra")], "q long, text string"), {}
+    got = sorted(map(tuple, index.search(asked, "q", "text", 5, read).collect()))
+    assert got == sorted(map(tuple, search.top_k(asked, docs, "q", "text", "id", ["text"], 5).collect())) and [r[2] for r in got] == [7, 67, 127, 187, 247]
+    assert 3 * (read["sources"] + read["read"]) < read["all"]
